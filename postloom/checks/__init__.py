@@ -4,7 +4,7 @@ import importlib
 
 from postloom.checks.registry import ORACLES, QUERIES
 
-TOPICS = ["feed"]
+TOPICS = ["feed", "text", "vectors"]
 
 
 def load():

@@ -7,6 +7,7 @@ spelled out for Unicode.
 from pyspark.sql import functions as F
 
 from postloom import fixed_values as V
+from postloom.functions.vectors import let
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\p{Z}\x1c-\x1f\x85"
@@ -38,9 +39,12 @@ def normalize_post(text):
 
 def is_meaningful(text):
     """Has a word character, and not more than half of the words are URLs."""
-    tokens = words(text)
-    urls = F.size(F.filter(tokens, lambda word: word.rlike(V.URL_TOKEN)))
-    return text.rlike(f"[{WORD}]") & (urls / F.size(tokens) <= V.MAX_URL_SHARE)
+
+    def few_urls(tokens):
+        urls = F.filter(tokens, lambda word: word.rlike(V.URL_TOKEN))
+        return F.size(urls) / F.size(tokens) <= V.MAX_URL_SHARE
+
+    return text.rlike(f"[{WORD}]") & let(words(text), few_urls)
 
 
 def is_nsfw(text, whole_word=False):

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postloom import fixed_values as V
-from postloom.functions.text import is_meaningful, is_nsfw, normalize_post, strip
+from postloom.functions.text import SPACE, is_meaningful, is_nsfw, normalize_post, strip
 from postloom.functions.time import event_time
 
 
@@ -108,15 +108,29 @@ def first_posts(posts, n=V.ANALYSIS_ROW_CAP, order="post_id"):
     return posts.orderBy(order).limit(n) if n else posts
 
 
+def keep_texts(posts, text, wanted, name="text_clean"):
+    """``posts`` with ``text`` as column ``name``, where the text is wanted.
+
+    A filter on a computed column would compute it again; a list of no or one
+    element, exploded, computes it once.
+    """
+    return posts.withColumn(name, F.explode(F.filter(F.array(text), wanted)))
+
+
 def cleaned_posts(posts):
     """Stripped, non-empty text and its normalised form."""
-    stripped = posts.withColumn("text", strip(F.col("text"))).where(F.length("text") > 0)
-    return stripped.withColumn("text_clean", normalize_post(F.col("text")))
+    text = F.col("text")
+    return posts.where(text.rlike(f"[^{SPACE}]")).withColumns(
+        {"text": strip(text), "text_clean": normalize_post(text)}
+    )
 
 
 def analysis_posts(posts, whole_word=False):
     """Cleaned posts worth clustering: meaningful, not NSFW, not empty."""
-    clean = F.col("text_clean")
-    return cleaned_posts(posts).where(
-        is_meaningful(clean) & ~is_nsfw(clean, whole_word) & (F.length(clean) > 0)
-    )
+
+    def wanted(clean):
+        return is_meaningful(clean) & ~is_nsfw(clean, whole_word) & (F.length(clean) > 0)
+
+    text = F.col("text")
+    kept = keep_texts(posts.where(text.rlike(f"[^{SPACE}]")), normalize_post(text), wanted)
+    return kept.withColumn("text", strip(text))

@@ -17,6 +17,15 @@ def table(spark, folder, name, *columns):
     return df.select(*columns) if columns else df
 
 
+def spread(rows):
+    """``rows`` over all cores, if the files have fewer splits than the cluster has cores.
+
+    For CPU-heavy work on small inputs; a large table is returned as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def firehose(spark, folder):
     """``events`` joined with ``documents`` as a parsed message feed.
 
