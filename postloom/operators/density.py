@@ -18,8 +18,9 @@ anything is joined, and the graph to be connected has only dense cells in it.
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from postloom import fixed_values as V
 from postloom.functions.hashing import md5_uint
@@ -39,24 +40,36 @@ def directions(dims, projections, tables, seed):
     return np.array(signs).T, np.array(shifts)
 
 
-def with_cells(rows, dims, vector="embedding", cell_width=1.0, projections=4, tables=8,
-               seed=V.REDUCE_SEED):
-    """``rows`` with the names of the ``tables`` cells their vector lies in."""
-    signs, shifts = directions(dims, projections, tables, seed)
-
-    @F.pandas_udf("array<int>")
-    def boxes(vectors: pd.Series) -> pd.Series:
-        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-        return pd.Series(list(np.floor(matrix @ signs / cell_width + shifts).astype(np.int32)))
+def with_cells(rows, dims, id="post_id", vector="embedding", cell_width=1.0, projections=4,
+               tables=8, seed=V.REDUCE_SEED):
+    """``id, cells``: the names of the ``tables`` cells each vector lies in.
 
-    box = F.col("_boxes")
+    The projection is one matrix product per Arrow batch; a vector that is
+    missing or of another width fails the job.
+    """
+    signs, shifts = directions(dims, projections, tables, seed)
+    width = len(shifts)
+
+    def box_task(batches):
+        for batch in batches:
+            count = batch.num_rows
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            matrix = flat.astype(np.float64).reshape(count, dims)
+            boxes = np.floor(matrix @ signs / cell_width + shifts).astype(np.int32)
+            ends = pa.array(np.arange(count + 1, dtype=np.int32) * width)
+            lists = pa.ListArray.from_arrays(ends, pa.array(boxes.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [id, "boxes"])
+
+    points = rows.select(id, vector)
+    schema = StructType([points.schema[id], StructField("boxes", ArrayType(IntegerType()))])
     cells = F.array(*[
         F.concat(
-            F.lit(f"{t}:"), F.array_join(F.slice(box, 1 + t * projections, projections), ",")
+            F.lit(f"{t}:"),
+            F.array_join(F.slice("boxes", 1 + t * projections, projections), ","),
         )
         for t in range(tables)
     ])
-    return rows.withColumn("_boxes", boxes(vector)).withColumn("cells", cells).drop("_boxes")
+    return points.mapInArrow(box_task, schema).select(id, cells.alias("cells"))
 
 
 def signatures(located, id):
@@ -170,8 +183,7 @@ def numbered(clusters):
 def density_clusters(rows, dims, id="post_id", vector="embedding", min_pts=V.MIN_CLUSTER_SIZE,
                      min_cluster_size=V.MIN_CLUSTER_SIZE, **cell_options):
     """``id, cluster`` for every row; noise has cluster -1."""
-    located = with_cells(rows.select(id, vector), dims, vector, **cell_options)
-    located = write_and_read(located.select(id, "cells"), "cells")
+    located = write_and_read(with_cells(rows, dims, id, vector, **cell_options), "cells")
     found = write_and_read(signatures(located, id), "signatures")
     dense = write_and_read(dense_cells(found, min_pts), "dense-cells")
     members = write_and_read(dense_members(found, dense), "members")
