@@ -4,7 +4,7 @@ import importlib
 
 from postloom.checks.registry import ORACLES, QUERIES
 
-TOPICS = ["feed", "text", "vectors", "clusters"]
+TOPICS = ["feed", "text", "vectors", "clusters", "streams"]
 
 
 def load():
