@@ -216,8 +216,11 @@ def density_sql(points, id, width, projections, tables, min_pts, min_size):
     FROM boxes GROUP BY {id}, t
 ), dense AS (
     SELECT cell, count(*) AS posts FROM cells GROUP BY cell HAVING count(*) >= {min_pts}
+), touched AS (
+    SELECT {id}, cell, posts, count(*) OVER (PARTITION BY {id}) AS dense_cells
+    FROM cells JOIN dense USING (cell)
 ), inside AS (
-    SELECT {id}, cell, posts FROM cells JOIN dense USING (cell)
+    SELECT {id}, cell, posts FROM touched WHERE dense_cells >= 2
 ), links AS (
     SELECT a.cell AS one, b.cell AS two FROM inside a JOIN inside b USING ({id})
     WHERE a.cell <> b.cell GROUP BY ALL HAVING count(*) >= {min_pts}
@@ -260,7 +263,7 @@ def density_clusters(spark, folder):
     return as_bigint(found, "cluster")
 
 
-@query("neighbor_cells", VECTOR_POINTS_SQL + "SELECT vec_id, cell, posts FROM inside")
+@query("neighbor_cells", VECTOR_POINTS_SQL + "SELECT vec_id, cell, posts FROM touched")
 def neighbor_cells(spark, folder):
     """Each vector with the dense cells it shares with its neighbours."""
     located = density.with_cells(embeddings(spark, folder), 64, "vec_id", **VECTOR_CELLS)

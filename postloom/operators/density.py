@@ -5,10 +5,12 @@ of ``tables`` tables has its own directions and offsets, so that close posts
 parted by an edge in one table share a cell in another.
 
 * A cell that holds ``min_pts`` posts is dense.
-* Two dense cells are linked when ``min_pts`` posts lie in both.
-* A cluster is a connected set of dense cells; a post belongs to the cluster of
-  its fullest dense cell.
-* Posts in no dense cell, and clusters below ``min_cluster_size``, are noise.
+* A post is a core post when it lies in ``min_cells`` dense cells; one dense
+  cell alone can be chance.
+* Two dense cells are linked when ``min_pts`` core posts lie in both.
+* A cluster is a connected set of dense cells; a core post belongs to the
+  cluster of its fullest dense cell.
+* Other posts, and clusters below ``min_cluster_size``, are noise.
 
 The work grows with the number of posts, not with the number of close pairs:
 copies and near copies of a post collapse into one weighted signature before
@@ -27,6 +29,8 @@ from postloom.functions.hashing import md5_uint
 from postloom.operators.skew import join_per_key, positions
 from postloom.session import write_and_read
 
+MIN_CELLS = 2
+
 
 def directions(dims, projections, tables, seed):
     """A sign matrix and box offsets, fixed by md5 so that any engine can repeat them."""
@@ -88,8 +92,8 @@ def dense_cells(found, min_pts=V.MIN_CLUSTER_SIZE):
     return filled.where(F.col("posts") >= min_pts)
 
 
-def dense_members(found, dense):
-    """Signatures with their dense cells, sorted by name, and the fullest of them."""
+def dense_members(found, dense, min_cells=MIN_CELLS):
+    """Signatures of core posts with their dense cells, sorted by name, and the fullest of them."""
     spread = found.select("cells", "weight", "first_id", F.explode("cells").alias("cell"))
     kept = join_per_key(spread, dense, "cell", "signatures")
     # One row per table at most meets here, so the lists are short.
@@ -99,13 +103,14 @@ def dense_members(found, dense):
             F.sort_array(F.collect_list("cell")).alias("dense"),
             F.max(F.struct("posts", "cell")).alias("_fullest"),
         )
+        .where(F.size("dense") >= min_cells)
         .withColumn("cell", F.col("_fullest.cell"))
         .drop("_fullest")
     )
 
 
 def cell_links(members, min_pts=V.MIN_CLUSTER_SIZE):
-    """Pairs of dense cells with at least ``min_pts`` posts in both."""
+    """Pairs of dense cells with at least ``min_pts`` core posts in both."""
     pairs = F.flatten(
         F.transform(
             "dense",
@@ -181,12 +186,12 @@ def numbered(clusters):
 
 
 def density_clusters(rows, dims, id="post_id", vector="embedding", min_pts=V.MIN_CLUSTER_SIZE,
-                     min_cluster_size=V.MIN_CLUSTER_SIZE, **cell_options):
+                     min_cluster_size=V.MIN_CLUSTER_SIZE, min_cells=MIN_CELLS, **cell_options):
     """``id, cluster`` for every row; noise has cluster -1."""
     located = write_and_read(with_cells(rows, dims, id, vector, **cell_options), "cells")
     found = write_and_read(signatures(located, id), "signatures")
     dense = write_and_read(dense_cells(found, min_pts), "dense-cells")
-    members = write_and_read(dense_members(found, dense), "members")
+    members = write_and_read(dense_members(found, dense, min_cells), "members")
     roots = components(cell_links(members, min_pts))
     rooted = members.join(roots, "cell", "left").select(
         "cells", "weight", F.coalesce("root", "cell").alias("root")
