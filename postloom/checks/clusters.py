@@ -267,7 +267,7 @@ def density_clusters(spark, folder):
 def neighbor_cells(spark, folder):
     """Each vector with the dense cells it shares with its neighbours."""
     located = density.with_cells(embeddings(spark, folder), 64, "vec_id", **VECTOR_CELLS)
-    dense = density.dense_cells(density.signatures(located, "vec_id"), 8)
+    dense = density.dense_cells(density.signatures(located), 8)
     spread = located.select("vec_id", F.explode("cells").alias("cell"))
     return density.join_per_key(spread, dense, "cell", "posts").select("vec_id", "cell", "posts")
 
@@ -277,7 +277,7 @@ SELECT one AS "left", two AS "right" FROM links WHERE one < two""")
 def neighbor_edges(spark, folder):
     """Dense cells that overlap: the edges of the density graph."""
     located = density.with_cells(embeddings(spark, folder), 64, "vec_id", **VECTOR_CELLS)
-    found = density.signatures(located, "vec_id")
+    found = density.signatures(located)
     dense = density.dense_members(found, density.dense_cells(found, 8))
     return density.cell_links(dense, 8).select("left", "right")
 

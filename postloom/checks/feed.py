@@ -6,7 +6,7 @@ from postloom.checks.registry import FIREHOSE_SQL, ROUND_2, query
 from postloom.functions.time import delay_seconds, event_time
 from postloom.operators import activity, decode, posts
 from postloom.plans import reports
-from postloom.sources.tables import firehose, table, topic
+from postloom.sources.tables import firehose, spread, table, topic
 
 
 def langs_text(column="langs"):
@@ -205,7 +205,7 @@ def dead_letter_counts(spark, folder):
         F.lit(None).cast("string"),
         F.to_json(F.struct(F.col("event_type").alias("time_us"))),
     )
-    events = table(spark, folder, "events", "ts", "user_id", "event_type", "props")
+    events = spread(table(spark, folder, "events", "ts", "user_id", "event_type", "props"))
     prose = table(spark, folder, "documents", F.col("text").alias("value"))
     return decode.fault_counts(events.select(F.explode(values).alias("value")).union(prose))
 

@@ -33,9 +33,10 @@ WITH words AS (
 
 
 def by_component(rows, id, vector, digits=None):
-    spread = rows.select(id, F.posexplode(vector).alias("pos", "value"))
+    # The outer form: the plain one would compute the vector again to test it for emptiness.
+    components = rows.select(id, F.posexplode_outer(vector).alias("pos", "value"))
     value = F.col("value").cast("double")
-    return spread.select(
+    return components.select(
         id,
         F.col("pos").cast("bigint").alias("pos"),
         (F.round(value, digits) if digits else value).alias("value"),

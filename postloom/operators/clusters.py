@@ -12,6 +12,7 @@ from postloom.functions.text import label_answer, label_text
 from postloom.functions.vectors import cosine
 from postloom.operators.skew import join_per_key, positions
 from postloom.operators.vectors import reduce_dims
+from postloom.session import write_and_read
 
 
 def kmeans_clusters(rows, k, id="post_id", vector="embedding", seed=V.REDUCE_SEED):
@@ -104,8 +105,12 @@ def term_scores(members, text="text_clean"):
     A term scores by its uses in the cluster, times ln(1 + mean cluster length
     / uses in all clusters).
     """
-    spread = clustered(members).select("cluster", F.explode(F.split(text, " ")).alias("term"))
-    uses = spread.where("term <> ''").groupBy("cluster", "term").agg(F.count("*").alias("uses"))
+    # The outer form: the plain one would compute the text again to test it for words.
+    spread = clustered(members).select("cluster", F.explode_outer(F.split(text, " ")).alias("term"))
+    uses = write_and_read(
+        spread.where("term <> ''").groupBy("cluster", "term").agg(F.count("*").alias("uses")),
+        "term-uses",
+    )
     everywhere = uses.groupBy("term").agg(
         F.sum("uses").alias("all_uses"), F.count("*").alias("clusters")
     )

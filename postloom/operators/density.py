@@ -76,11 +76,9 @@ def with_cells(rows, dims, id="post_id", vector="embedding", cell_width=1.0, pro
     return points.mapInArrow(box_task, schema).select(id, cells.alias("cells"))
 
 
-def signatures(located, id):
+def signatures(located):
     """Posts that share all cells, as one weighted row."""
-    return located.groupBy("cells").agg(
-        F.count("*").alias("weight"), F.min(id).alias("first_id")
-    )
+    return located.groupBy("cells").agg(F.count("*").alias("weight"))
 
 
 def dense_cells(found, min_pts=V.MIN_CLUSTER_SIZE):
@@ -94,11 +92,11 @@ def dense_cells(found, min_pts=V.MIN_CLUSTER_SIZE):
 
 def dense_members(found, dense, min_cells=MIN_CELLS):
     """Signatures of core posts with their dense cells, sorted by name, and the fullest of them."""
-    spread = found.select("cells", "weight", "first_id", F.explode("cells").alias("cell"))
+    spread = found.select("cells", "weight", F.explode("cells").alias("cell"))
     kept = join_per_key(spread, dense, "cell", "signatures")
     # One row per table at most meets here, so the lists are short.
     return (
-        kept.groupBy("cells", "weight", "first_id")
+        kept.groupBy("cells", "weight")
         .agg(
             F.sort_array(F.collect_list("cell")).alias("dense"),
             F.max(F.struct("posts", "cell")).alias("_fullest"),
@@ -131,8 +129,10 @@ def smallest_neighbours(edges):
 
 
 def both_ways(edges):
-    ends = F.array(F.struct(F.col("of"), F.col("to")), F.struct(F.col("to").alias("of"), F.col("of").alias("to")))
-    return edges.select(F.explode(ends).alias("edge")).select("edge.of", "edge.to")
+    ends = F.array(
+        F.struct("of", "to"), F.struct(F.col("to").alias("of"), F.col("of").alias("to"))
+    )
+    return edges.select(F.inline(ends))
 
 
 def large_star(edges):
@@ -147,18 +147,23 @@ def small_star(edges):
     """Tie each node and its smaller neighbours to the least of them."""
     least = smallest_neighbours(edges)
     tied = join_per_key(edges, least, "of", "degree")
-    ends = F.array(F.struct(F.col("to").alias("of"), F.col("least").alias("to")),
-                   F.struct(F.col("of"), F.col("least").alias("to")))
-    moved = tied.select(F.explode(ends).alias("edge")).select("edge.of", "edge.to")
-    return moved.where("of <> to").distinct()
+    ends = F.array(
+        F.struct(F.col("to").alias("of"), F.col("least").alias("to")),
+        F.struct(F.col("of"), F.col("least").alias("to")),
+    )
+    return tied.select(F.inline(ends)).where("of <> to").distinct()
 
 
 def is_star_forest(edges):
     """Every node hangs on one root, and no root hangs on anything."""
-    if not edges.groupBy("of").count().where("count > 1").isEmpty():
-        return False
-    roots = edges.select(F.col("to").alias("of"))
-    return edges.join(roots, "of", "left_semi").isEmpty()
+    ends = F.array(
+        F.struct(F.col("of").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")),
+        F.struct(F.col("to").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")),
+    )
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(
+        F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")
+    )
+    return nodes.where("hangs + holds > 1").isEmpty()
 
 
 def components(links):
@@ -189,7 +194,7 @@ def density_clusters(rows, dims, id="post_id", vector="embedding", min_pts=V.MIN
                      min_cluster_size=V.MIN_CLUSTER_SIZE, min_cells=MIN_CELLS, **cell_options):
     """``id, cluster`` for every row; noise has cluster -1."""
     located = write_and_read(with_cells(rows, dims, id, vector, **cell_options), "cells")
-    found = write_and_read(signatures(located, id), "signatures")
+    found = write_and_read(signatures(located), "signatures")
     dense = write_and_read(dense_cells(found, min_pts), "dense-cells")
     members = write_and_read(dense_members(found, dense, min_cells), "members")
     roots = components(cell_links(members, min_pts))

@@ -97,7 +97,7 @@ def test_density_finds_the_groups(spark, copies):
 def test_copies_become_one_signature(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(400)], "post_id int, v array<float>")
     located = density.with_cells(rows, 2, vector="v")
-    assert [r.weight for r in density.signatures(located, "post_id").collect()] == [400]
+    assert [r.weight for r in density.signatures(located).collect()] == [400]
 
 
 def test_wrong_width_fails(spark):

@@ -33,6 +33,23 @@ def test_first_posts(spark):
     assert posts.first_posts(rows, 0).count() == 20
 
 
+def test_first_posts_of_many_are_exact(spark):
+    rows = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("post_id")).repartition(5)
+    got = posts.first_posts(rows, 20)
+    assert "<=" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.post_id for r in got.collect()] == list(range(20))
+
+
+def test_thinning_keeps_the_first_of_each_key(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 7).alias("did"),
+        F.lit("k").alias("rkey"), "id",
+    ).coalesce(1)
+    got = posts.thin_repeats(rows, ["did", "rkey"]).collect()
+    assert {r.did: r.id for r in got} == {None: 0, 1: 1, 2: 2, 4: 4, 5: 5, 0: 7, 3: 10, 6: 13}
+    assert len(got) == 8
+
+
 def test_empty_language_is_a_choice(spark, folder):
     created = posts.new_posts(firehose(spark, folder))
     named = posts.post_languages(created, "offset")

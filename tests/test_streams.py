@@ -59,10 +59,9 @@ def test_complete_stream_equals_batch(spark, folder, recording, analytic):
     assert len([p for p in query.recentProgress if p.numInputRows]) == 3
 
 
-@pytest.mark.parametrize("keep_state", [False, True])
-def test_deduplicated_stream_equals_batch(spark, folder, recording, keep_state):
-    query = to_memory(posts.raw_posts(stream(spark, recording), keep_state=keep_state),
-                      "once", "append")
+@pytest.mark.parametrize("options", [{}, {"keep_state": True}, {"thin": True}])
+def test_deduplicated_stream_equals_batch(spark, folder, recording, options):
+    query = to_memory(posts.raw_posts(stream(spark, recording), **options), "once", "append")
     QuerySet(query).finish()
     assert same(spark.table("once"), posts.raw_posts(decode.decode_messages(topic(spark, folder))))
 
