@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from postloom.checks.registry import query
 from postloom.checks.text import clean_sql
 from postloom.checks.vectors import HASHED_SQL, document_words, embeddings
-from postloom.operators import clusters, density, vectors
 from postloom.functions.vectors import normalize
+from postloom.operators import clusters, density, vectors
+from postloom.session import write_and_read
 from postloom.sources.tables import table
 
 # Label 0 plays the noise.
@@ -54,7 +55,8 @@ def cluster_centroids(spark, folder):
 
 def similar_members(spark, folder):
     found = members(spark, folder)
-    return clusters.member_similarity(found, clusters.centroids(found, "embedding"), "embedding")
+    centres = write_and_read(clusters.centroids(found, "embedding"), "centroids")
+    return clusters.member_similarity(found, centres, "embedding")
 
 
 @query("member_similarity", MEMBERS_SQL + """
@@ -266,8 +268,9 @@ def density_clusters(spark, folder):
 @query("neighbor_cells", VECTOR_POINTS_SQL + "SELECT vec_id, cell, posts FROM touched")
 def neighbor_cells(spark, folder):
     """Each vector with the dense cells it shares with its neighbours."""
-    located = density.with_cells(embeddings(spark, folder), 64, "vec_id", **VECTOR_CELLS)
-    dense = density.dense_cells(density.signatures(located), 8)
+    located, _, dense = density.locate(
+        embeddings(spark, folder), 64, "vec_id", min_pts=8, **VECTOR_CELLS
+    )
     spread = located.select("vec_id", F.explode("cells").alias("cell"))
     return density.join_per_key(spread, dense, "cell", "posts").select("vec_id", "cell", "posts")
 
@@ -276,10 +279,11 @@ def neighbor_cells(spark, folder):
 SELECT one AS "left", two AS "right" FROM links WHERE one < two""")
 def neighbor_edges(spark, folder):
     """Dense cells that overlap: the edges of the density graph."""
-    located = density.with_cells(embeddings(spark, folder), 64, "vec_id", **VECTOR_CELLS)
-    found = density.signatures(located)
-    dense = density.dense_members(found, density.dense_cells(found, 8))
-    return density.cell_links(dense, 8).select("left", "right")
+    _, found, dense = density.locate(
+        embeddings(spark, folder), 64, "vec_id", min_pts=8, **VECTOR_CELLS
+    )
+    members = density.dense_members(found, dense)
+    return density.cell_links(members, 8).select("left", "right")
 
 
 DOCUMENT_CELLS = dict(cell_width=0.8, projections=4, tables=8)

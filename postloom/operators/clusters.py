@@ -46,7 +46,10 @@ def centroids(members, vector="reduced"):
 
 
 def member_similarity(members, centres, vector="reduced"):
-    """``members`` with the cosine to the centroid of their cluster."""
+    """``members`` with the cosine to the centroid of their cluster.
+
+    ``centres`` is read more than once; write it down first.
+    """
     together = join_per_key(clustered(members), centres, "cluster", "size")
     return together.withColumn("similarity", cosine(F.col(vector), F.col("centroid"))).drop(
         "centroid", "size"
@@ -111,8 +114,11 @@ def term_scores(members, text="text_clean"):
         spread.where("term <> ''").groupBy("cluster", "term").agg(F.count("*").alias("uses")),
         "term-uses",
     )
-    everywhere = uses.groupBy("term").agg(
-        F.sum("uses").alias("all_uses"), F.count("*").alias("clusters")
+    everywhere = write_and_read(
+        uses.groupBy("term").agg(
+            F.sum("uses").alias("all_uses"), F.count("*").alias("clusters")
+        ),
+        "terms",
     )
     lengths = uses.groupBy("cluster").agg(F.sum("uses").alias("length"))
     mean_length = lengths.agg(F.avg("length")).scalar()

@@ -178,7 +178,8 @@ def components(links):
         "edges",
     )
     while not is_star_forest(edges):
-        edges = write_and_read(small_star(large_star(edges)), "edges")
+        edges = write_and_read(large_star(edges), "edges")
+        edges = write_and_read(small_star(edges), "edges")
     return edges.select(F.col("of").alias("cell"), F.col("to").alias("root"))
 
 
@@ -190,24 +191,33 @@ def numbered(clusters):
     ).drop("_order")
 
 
+def locate(rows, dims, id="post_id", vector="embedding", min_pts=V.MIN_CLUSTER_SIZE,
+           **cell_options):
+    """Three written tables: the rows with their cells, the signatures, the dense cells."""
+    located = write_and_read(with_cells(rows, dims, id, vector, **cell_options), "cells")
+    found = write_and_read(signatures(located), "signatures")
+    return located, found, write_and_read(dense_cells(found, min_pts), "dense-cells")
+
+
 def density_clusters(rows, dims, id="post_id", vector="embedding", min_pts=V.MIN_CLUSTER_SIZE,
                      min_cluster_size=V.MIN_CLUSTER_SIZE, min_cells=MIN_CELLS, **cell_options):
     """``id, cluster`` for every row; noise has cluster -1."""
-    located = write_and_read(with_cells(rows, dims, id, vector, **cell_options), "cells")
-    found = write_and_read(signatures(located), "signatures")
-    dense = write_and_read(dense_cells(found, min_pts), "dense-cells")
+    located, found, dense = locate(rows, dims, id, vector, min_pts, **cell_options)
     members = write_and_read(dense_members(found, dense, min_cells), "members")
     roots = components(cell_links(members, min_pts))
-    rooted = members.join(roots, "cell", "left").select(
-        "cells", "weight", F.coalesce("root", "cell").alias("root")
+    cells = dense.join(roots, "cell", "left").select(
+        "cell", F.coalesce("root", "cell").alias("root"), "signatures"
     )
+    cells = write_and_read(cells, "rooted-cells")
+    rooted = join_per_key(members, cells, "cell", "signatures").select("cells", "weight", "root")
     rooted = write_and_read(rooted, "rooted")
     sizes = rooted.groupBy("root").agg(
         F.sum("weight").alias("size"), F.count("*").alias("signatures")
     )
     kept = write_and_read(sizes.where(F.col("size") >= min_cluster_size), "clusters")
-    named = join_per_key(rooted, numbered(kept).select("root", "signatures", "cluster"),
-                         "root", "signatures")
-    placed = join_per_key(located, named.select("cells", "weight", "cluster"),
-                          "cells", "weight", how="left")
+    numbers = numbered(kept).select("root", "signatures", "cluster")
+    numbers = write_and_read(numbers, "numbers")
+    named = join_per_key(rooted, numbers, "root", "signatures")
+    named = write_and_read(named.select("cells", "weight", "cluster"), "named")
+    placed = join_per_key(located, named, "cells", "weight", how="left")
     return placed.select(id, F.coalesce("cluster", F.lit(V.NOISE)).alias("cluster"))

@@ -13,6 +13,9 @@ def join_per_key(rows, keyed, key, weight, how="inner", hot_keys=HOT_KEYS):
     key.  The ``hot_keys`` heaviest keys are joined by broadcast: never more
     than that many rows, whatever the data.  All other keys are joined by
     shuffle, where none can hold more than one part in ``hot_keys``.
+
+    ``rows`` is read twice and ``keyed`` three times, so hand in tables or
+    cheap expressions over tables, see ``write_and_read``.
     """
     hot = F.broadcast(keyed.orderBy(F.desc(weight), key).limit(hot_keys))
     hot_rows = rows.join(hot, key)
