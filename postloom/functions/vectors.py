@@ -26,12 +26,12 @@ def norm(vector):
 
 def normalize(vector):
     """Unit length; a zero vector stays as it is."""
-    return let(
-        norm(vector),
-        lambda n: F.when(n > 0, F.transform(vector, lambda x: (x / n).cast("float"))).otherwise(
-            vector.cast("array<float>")
-        ),
-    )
+
+    def scaled(v, n):
+        unit = F.transform(v, lambda x: (x / n).cast("float"))
+        return F.when(n > 0, unit).otherwise(v.cast("array<float>"))
+
+    return let(vector, lambda v: let(norm(v), lambda n: scaled(v, n)))
 
 
 def cosine(left, right):

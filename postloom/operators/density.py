@@ -12,6 +12,10 @@ parted by an edge in one table share a cell in another.
   cluster of its fullest dense cell.
 * Other posts, and clusters below ``min_cluster_size``, are noise.
 
+Choose ``cell_width`` at several times the distance of neighbours, and more
+``projections`` the more posts there are: chance meetings of far posts in a cell
+fade with each, and so must stay below ``min_pts``.
+
 The work grows with the number of posts, not with the number of close pairs:
 copies and near copies of a post collapse into one weighted signature before
 anything is joined, and the graph to be connected has only dense cells in it.
@@ -44,7 +48,7 @@ def directions(dims, projections, tables, seed):
     return np.array(signs).T, np.array(shifts)
 
 
-def with_cells(rows, dims, id="post_id", vector="embedding", cell_width=1.0, projections=4,
+def with_cells(rows, dims, id="post_id", vector="embedding", cell_width=1.0, projections=6,
                tables=8, seed=V.REDUCE_SEED):
     """``id, cells``: the names of the ``tables`` cells each vector lies in.
 
