@@ -13,7 +13,7 @@ from postloom.sources.tables import table
 # Label 0 plays the noise.
 MEMBERS_SQL = """
 WITH members AS (
-    SELECT vec_id, CASE WHEN label = 0 THEN -1 ELSE label END AS cluster, embedding
+    SELECT vec_id, CAST(label AS BIGINT) AS cluster, embedding
     FROM embeddings WHERE label <> 0
 ), parts AS (
     SELECT vec_id, cluster, generate_subscripts(embedding, 1) - 1 AS pos,
@@ -108,7 +108,7 @@ def cluster_prompts(spark, folder):
 
 TERMS_SQL = f"""
 WITH words AS (
-    SELECT label AS cluster, unnest(string_split({clean_sql('text')}, ' ')) AS term
+    SELECT CAST(label AS BIGINT) AS cluster, unnest(string_split({clean_sql('text')}, ' ')) AS term
     FROM embeddings JOIN documents ON doc_id = vec_id WHERE label <> 0
 ), uses AS (
     SELECT cluster, term, count(*) AS uses FROM words WHERE term <> '' GROUP BY ALL
@@ -151,7 +151,7 @@ def cluster_terms(spark, folder):
 @query("minmax_scale", """
 SELECT event_id, round((value - (SELECT min(value) FROM events))
            / ((SELECT max(value) FROM events) - (SELECT min(value) FROM events)), 9) AS value,
-       0.0 AS zero
+       0.0::DOUBLE AS zero
 FROM events""")
 def minmax_scale(spark, folder):
     events = table(spark, folder, "events", "event_id", "value").withColumn("zero", F.lit(5.0))
@@ -184,11 +184,26 @@ def centroid_xy(spark, folder):
     return clusters.centroid_xy(clusters.centroids(members(spark, folder), "embedding"))
 
 
-@query("cluster_summary")
+@query("cluster_summary", MEMBERS_SQL + TERMS_SQL.replace("WITH words", ", words") + """
+SELECT cluster, size, round(x, 6) AS x, round(y, 6) AS y, summary
+FROM sizes JOIN (
+    SELECT cluster, max(c) FILTER (WHERE pos = 0) AS x, max(c) FILTER (WHERE pos = 1) AS y
+    FROM centres GROUP BY ALL) USING (cluster)
+LEFT JOIN (
+    SELECT cluster, string_agg(term, ' ' ORDER BY rank) AS summary
+    FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rank
+          FROM scores)
+    WHERE rank <= 4 GROUP BY cluster) USING (cluster)""")
 def cluster_summary(spark, folder):
-    centres = clusters.centroids(members(spark, folder), "embedding")
+    """The summary with the first two components of a centroid as its place."""
+    centres = write_and_read(clusters.centroids(members(spark, folder), "embedding"), "centroids")
+    places = centres.select(
+        "cluster",
+        F.round(F.col("centroid")[0], 6).alias("x"),
+        F.round(F.col("centroid")[1], 6).alias("y"),
+    )
     labels = clusters.cluster_terms(worded_members(spark, folder))
-    return clusters.cluster_summary(centres, clusters.centroid_xy(centres), labels)
+    return as_bigint(clusters.cluster_summary(centres, places, labels), "cluster")
 
 
 @query("kmeans_clusters")

@@ -1,5 +1,7 @@
 """Queries on vectors: encoding, checks, arithmetic, reduction."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from postloom.checks.registry import query
@@ -139,3 +141,21 @@ def reduce_dims(spark, folder):
         "vec_id", V.normalize(F.col("embedding")).alias("embedding")
     )
     return vectors.reduce_dims(unit, dims=16).select("vec_id", "reduced")
+
+
+@query("reduced_norms", COMPONENTS_SQL + """
+SELECT vec_id, round(sqrt(sum((x - mean) * (x - mean))), 4) AS norm
+FROM (SELECT *, avg(x) OVER (PARTITION BY pos) AS mean FROM parts) GROUP BY vec_id""")
+def reduced_norms(spark, folder):
+    """Distance of each vector to the mean, in all its principal components.
+
+    Components only turn the space, so distances are what SQL finds without them.
+    """
+    rows = embeddings(spark, folder).select("vec_id", "embedding")
+    model = vectors.reduction_model(rows, 64)
+    mean = rows.agg(Summarizer.mean(array_to_vector("embedding")).alias("embedding"))
+    mean = mean.select(vector_to_array("embedding").alias("embedding"))
+    origin = vectors.reduce_dims(mean, model=model).select("reduced").scalar()
+    turned = vectors.reduce_dims(rows, model=model).withColumn("origin", origin)
+    steps = F.zip_with("reduced", "origin", lambda x, m: x - m)
+    return turned.select("vec_id", F.round(V.norm(steps), 4).alias("norm"))

@@ -11,7 +11,7 @@ from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from compare import connect, differences  # noqa: E402
 from postloom.session import build_session  # noqa: E402
 
-spark = build_session("checks", "local[8]", 8, spark__ui__enabled="false",
+spark = build_session("checks", "local[8]", os.environ.get("SHUFFLE", 8), spark__ui__enabled="false",
                       spark__driver__memory="12g")
 spark.sparkContext.setLogLevel("ERROR")
 folder, names = sys.argv[1], sys.argv[2:]
