@@ -19,20 +19,25 @@ from postloom.streaming.runner import QuerySet
 from postloom.streaming.sinks import to_parquet, write_table
 
 SLICES = 3
-FILES = 4
+ROWS_PER_FILE = 1000
 
 
 @cache
 def _recording(application, spark, folder, newest_first):
+    """Path and files per slice: as many as the cluster shuffles into, none of them empty."""
+    rows = table(spark, folder, "events").count()
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, min(most, rows // SLICES // ROWS_PER_FILE))
     path = work_dir(spark, "recording")
-    return record_topic(topic(spark, folder), path, SLICES, FILES, newest_first=newest_first)
+    record_topic(topic(spark, folder), path, SLICES, files, newest_first=newest_first)
+    return path, files
 
 
 def recorded_feed(spark, folder, newest_first=False):
     """The feed recorded once per session and replayed as a decoded stream, a slice per batch."""
     application = spark.sparkContext.applicationId
-    path = _recording(application, spark, folder, newest_first)
-    return decode.decode_messages(replay_topic(spark, path, FILES))
+    path, files = _recording(application, spark, folder, newest_first)
+    return decode.decode_messages(replay_topic(spark, path, files))
 
 
 def written(stream, label, partition_by=None):
@@ -103,8 +108,8 @@ WHERE start_us + 120000000 <= (SELECT max(time_us) FROM post_languages) - 600000
 GROUP BY start_us, language""")
 def sink_partitioned_parquet(spark, folder):
     activity = language_activity(recorded_feed(spark, folder))
-    table, _ = written(activity, "language", "window_start")
-    return table.drop("unique_users", "partitions_processed")
+    stored, _ = written(activity, "language", "window_start")
+    return stored.drop("unique_users", "partitions_processed")
 
 
 @query("append_closed_windows", FIREHOSE_SQL + """, spread AS (

@@ -4,6 +4,8 @@ Every function starts one query.  ``every`` is the processing-time trigger;
 without it the query takes what is there and ends.
 """
 
+from postloom.session import work_dir
+
 
 def _writer(stream, name, mode, every):
     writer = stream.writeStream.outputMode(mode)
@@ -12,9 +14,15 @@ def _writer(stream, name, mode, every):
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
+def _view(stream, name, mode, every):
+    """A sink that starts anew each time; its state still has to lie where all executors reach it."""
+    fresh = work_dir(stream.sparkSession, f"view-{name}")
+    return _writer(stream, name, mode, every).option("checkpointLocation", fresh)
+
+
 def to_console(stream, name, mode="update", every=None, rows=20):
     """Print each batch on the driver, for a look at a running job."""
-    writer = _writer(stream, name, mode, every).format("console")
+    writer = _view(stream, name, mode, every).format("console")
     return writer.option("truncate", False).option("numRows", rows).start()
 
 
@@ -32,7 +40,7 @@ def to_parquet(stream, path, checkpoint, name=None, partition_by=None, every=Non
 
 def to_memory(stream, name, mode="complete", every=None):
     """Keep the result as a table on the driver, for dashboards and tests on small results."""
-    return _writer(stream, name, mode, every).format("memory").start()
+    return _view(stream, name, mode, every).format("memory").start()
 
 
 def to_kafka(messages, options, checkpoint, name=None, every=None):
