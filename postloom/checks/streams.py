@@ -16,7 +16,7 @@ from postloom.session import work_dir
 from postloom.sources.replay import record_topic, replay_lines, replay_topic
 from postloom.sources.tables import table, topic
 from postloom.streaming.runner import QuerySet
-from postloom.streaming.sinks import to_parquet, write_table
+from postloom.streaming.sinks import gather_windows, to_parquet, write_table
 
 SLICES = 3
 ROWS_PER_FILE = 1000
@@ -107,7 +107,7 @@ FROM spread
 WHERE start_us + 120000000 <= (SELECT max(time_us) FROM post_languages) - 60000000
 GROUP BY start_us, language""")
 def sink_partitioned_parquet(spark, folder):
-    activity = language_activity(recorded_feed(spark, folder))
+    activity = gather_windows(language_activity(recorded_feed(spark, folder)))
     stored, _ = written(activity, "language", "window_start")
     return stored.drop("unique_users", "partitions_processed")
 

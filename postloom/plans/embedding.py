@@ -1,12 +1,14 @@
 """The embedding job: a table of posts into a table of vectors."""
 
+from pyspark.sql import functions as F
+
 from postloom import fixed_values as V
 from postloom.functions import vectors
 from postloom.operators.posts import analysis_posts, first_posts, with_post_id
 from postloom.operators.vectors import encode_posts, repair_vectors
+from postloom.session import write_and_read
 from postloom.sources.tables import spread
 from postloom.streaming.sinks import write_table
-from pyspark.sql import functions as F
 
 
 def embed_table(spark, source, target, make_encoder, clean=False, limit=0, unit_length=True,
@@ -16,13 +18,16 @@ def embed_table(spark, source, target, make_encoder, clean=False, limit=0, unit_
     ``clean`` keeps only posts worth clustering, adds ``text_clean`` and
     encodes that.  ``truncate_dim`` keeps the first components of each vector.
     """
-    posts = with_post_id(spark.read.parquet(source).select("did", "rkey", "text"), "text")
-    posts = first_posts(posts, limit)
+    scan = spread(spark.read.parquet(source).select("did", "rkey", "text"))
+    posts = with_post_id(scan, "text")
+    if limit:
+        # The cap leaves one partition; encode on all cores.
+        posts = first_posts(posts, limit).repartition(spark.sparkContext.defaultParallelism)
     text = "text"
     if clean:
         posts, text = analysis_posts(posts), "text_clean"
     options = dict(text=text, unit_length=unit_length, batch=batch)
-    encoded = encode_posts(spread(posts), make_encoder, **options)
+    encoded = write_and_read(encode_posts(posts, make_encoder, **options), "encoded")
     encoded = repair_vectors(encoded, make_encoder, **options)
     if truncate_dim:
         short = vectors.truncate(F.col("embedding"), truncate_dim)

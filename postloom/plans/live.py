@@ -4,7 +4,7 @@ from postloom import fixed_values as V
 from postloom.operators.activity import language_activity, platform_health
 from postloom.operators.posts import raw_posts
 from postloom.streaming.runner import QuerySet
-from postloom.streaming.sinks import to_console, to_memory, to_parquet
+from postloom.streaming.sinks import gather_windows, to_console, to_memory, to_parquet
 
 # Output folder, table name, console rows and triggers (console, Parquet, memory).
 SINKS = {
@@ -37,8 +37,9 @@ def start_live(parsed, output, checkpoints, console=True, memory=True, bounded=F
             every = None if bounded else console_every
             running.add(to_console(frame, f"{name}_console", console_mode, every, rows))
         every = None if bounded else parquet_every
+        stored = frame if name == "raw_posts" else gather_windows(frame)
         running.add(to_parquet(
-            frame, f"{output}/{folder}", f"{checkpoints}/{folder}", f"{name}_parquet",
+            stored, f"{output}/{folder}", f"{checkpoints}/{folder}", f"{name}_parquet",
             "window_start", every,
         ))
         if memory:

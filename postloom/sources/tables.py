@@ -21,6 +21,7 @@ def spread(rows):
     """``rows`` over all cores, if the files have fewer splits than the cluster has cores.
 
     For CPU-heavy work on small inputs; a large table is returned as it is.
+    Meant for scans: asking a plan with shuffles for its partitions would run it.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

@@ -49,6 +49,15 @@ def to_kafka(messages, options, checkpoint, name=None, every=None):
     return writer.option("checkpointLocation", checkpoint).start()
 
 
+def gather_windows(windows):
+    """One task, and so one file, per window and batch.
+
+    For aggregates, which have a row per language at most; posts of one window
+    are too many for a task.
+    """
+    return windows.repartition("window_start")
+
+
 def with_window_date(windows):
     """With the day of ``window_start`` as a coarser partition column."""
     return windows.selectExpr("*", "to_date(window_start) AS window_date")
