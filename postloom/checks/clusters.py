@@ -130,10 +130,9 @@ def worded_members(spark, folder):
 
 
 @query("term_scores", TERMS_SQL + """
-SELECT cluster, term, uses, round(score, 6) AS score FROM scores""")
+SELECT cluster, term, uses, score FROM scores""")
 def term_scores(spark, folder):
-    scores = clusters.term_scores(worded_members(spark, folder))
-    return as_bigint(scores.withColumn("score", F.round("score", 6)), "cluster")
+    return as_bigint(clusters.term_scores(worded_members(spark, folder)), "cluster")
 
 
 @query("cluster_terms", TERMS_SQL + """
@@ -304,11 +303,14 @@ def neighbor_edges(spark, folder):
 DOCUMENT_CELLS = dict(cell_width=0.8, projections=4, tables=8)
 
 
-@query("document_clusters", HASHED_SQL.replace("WITH words", "WITH RECURSIVE words") + """, points AS (
+DOCUMENT_POINTS_SQL = HASHED_SQL.replace("WITH words", "WITH RECURSIVE words") + """, points AS (
     SELECT doc_id, pos,
            CAST(CAST(CASE WHEN norm > 0 THEN value / norm ELSE value END AS FLOAT) AS DOUBLE) AS x
     FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS norm FROM hashed))
-""" + density_sql("points", "doc_id", 0.8, 4, 8, 10, 10) + """
+""" + density_sql("points", "doc_id", 0.8, 4, 8, 10, 10)
+
+
+@query("document_clusters", DOCUMENT_POINTS_SQL + """
 SELECT doc_id, coalesce(cluster, -1) AS cluster
 FROM documents LEFT JOIN placed USING (doc_id) LEFT JOIN kept USING (root)""")
 def document_clusters(spark, folder):

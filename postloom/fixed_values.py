@@ -24,7 +24,14 @@ FIREHOSE_SCHEMA = """
 """
 
 # Columns of a message topic, as the Kafka connector delivers them.
-TOPIC_SCHEMA = "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp"
+TOPIC_SCHEMA = """
+    key binary,
+    value binary,
+    topic string,
+    partition int,
+    offset bigint,
+    timestamp timestamp
+"""
 
 # A new post.
 POST_KIND = "commit"

@@ -39,7 +39,8 @@ def positions(rows, order, name="position", buckets=64):
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
     # At most `buckets` rows from here to the broadcast.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    start = F.coalesce(F.sum("_size").over(before), F.lit(0))
+    starts = sizes.select("_range", start.alias("_start"))
     return (
         ranged.withColumn("_within", within)
         .join(F.broadcast(starts), "_range")

@@ -90,8 +90,9 @@ def encode_posts(posts, make_encoder, text="text", unit_length=True, batch=V.ENC
             ]
             vectors = np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
             if unit_length:
-                norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-                vectors = np.divide(vectors, norms, out=vectors.copy(), where=norms > 0)
+                exact = vectors.astype(np.float64)
+                norms = np.linalg.norm(exact, axis=1, keepdims=True)
+                vectors = (exact / np.where(norms > 0, norms, 1.0)).astype(np.float32)
             yield frame.assign(embedding=pd.Series(list(vectors), index=frame.index, dtype=object))
 
     return posts.mapInPandas(encode_task, schema)

@@ -8,9 +8,13 @@ from postloom.streaming.sinks import gather_windows, to_console, to_memory, to_p
 
 # Output folder, table name, console rows and triggers (console, Parquet, memory).
 SINKS = {
-    "language": ("language_counts_kafka", V.LANGUAGE_TABLE, 20, "1 minute", "2 minutes", "1 minute"),
+    "language": (
+        "language_counts_kafka", V.LANGUAGE_TABLE, 20, "1 minute", "2 minutes", "1 minute",
+    ),
     "raw_posts": ("raw_posts_kafka", V.POSTS_TABLE, 10, "1 minute", "1 minute", "1 minute"),
-    "health": ("health_metrics_kafka", V.HEALTH_TABLE, 20, "30 seconds", "1 minute", "30 seconds"),
+    "health": (
+        "health_metrics_kafka", V.HEALTH_TABLE, 20, "30 seconds", "1 minute", "30 seconds",
+    ),
 }
 
 

@@ -15,7 +15,7 @@ def _writer(stream, name, mode, every):
 
 
 def _view(stream, name, mode, every):
-    """A sink that starts anew each time; its state still has to lie where all executors reach it."""
+    """A sink that starts anew each time, with its state where all executors reach it."""
     fresh = work_dir(stream.sparkSession, f"view-{name}")
     return _writer(stream, name, mode, every).option("checkpointLocation", fresh)
 
