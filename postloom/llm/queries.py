@@ -1,6 +1,6 @@
 """Registered queries of the operators, each with the SQL it must equal where SQL can say it."""
 
-from postloom.llm import dedup, jaccard
+from postloom.llm import dedup, jaccard, language, mixing
 
 QUERIES, ORACLES = {}, {}
 
@@ -63,3 +63,55 @@ FROM reach r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id
 """)
 def ngram_jaccard(spark, folder):
     return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_pareto_mixing", r"""
+WITH sized AS (
+    SELECT doc_id, source,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+    FROM documents
+), sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
+    FROM sized GROUP BY source
+), levels AS (
+    SELECT *, (3 * source_size)::DOUBLE AS cap,
+           (sum(source_size) OVER ()
+            - 3 * (sum(source_size) OVER up - source_size))
+           / (sum(weight) OVER () - sum(weight) OVER up + weight) AS level
+    FROM sources WINDOW up AS (ORDER BY source_size / weight, source
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), targets AS (
+    SELECT source, source_size, least(cap, weight * (
+        SELECT level FROM levels WHERE level * weight <= cap
+        ORDER BY source_size / weight, source LIMIT 1)) AS target
+    FROM levels
+), wanted AS (
+    SELECT doc_id, s.source, size, source_size, target,
+           floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)::BIGINT AS copies,
+           CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS f,
+           (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE)
+               / 4503599627370496::DOUBLE AS u
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), keyed AS (
+    SELECT *, CASE WHEN f - copies > 0
+                   THEN u / (1 - u) / ((f - copies) / (1 - (f - copies))) END AS quotient
+    FROM wanted
+), placed AS (
+    SELECT *, coalesce(sum(size) OVER (
+        PARTITION BY source ORDER BY quotient / (1 + quotient), doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS middle
+    FROM keyed
+)
+SELECT doc_id, size, source_size, target,
+       (copies + CASE WHEN quotient IS NOT NULL AND middle <= target - copies * source_size
+                      THEN 1 ELSE 0 END) * size AS taken
+FROM placed
+""")
+def pareto_mixing(spark, folder):
+    return mixing.mix(table(spark, folder, "documents")).drop("copies")
+
+
+@query("op9_language_id")
+def language_id(spark, folder):
+    return language.languages_of(table(spark, folder, "documents"))
