@@ -1,6 +1,8 @@
 """Registered queries of the operators, each with the SQL it must equal where SQL can say it."""
 
-from postloom.llm import dedup, jaccard, language, mixing
+import os
+
+from postloom.llm import bpe, chat, dedup, jaccard, language, mixing
 
 QUERIES, ORACLES = {}, {}
 
@@ -19,6 +21,21 @@ def query(name, sql=None):
     return register
 
 
+def tokenizer(name="word_bpe_49k.json"):
+    """A public tokenizer file; the folder can be set by TOKENIZER_DIR."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_bpe_lexicon")
+def bpe_lexicon(spark, folder):
+    return bpe.digests(table(spark, folder, "documents"), tokenizer())
+
+
 @query("op2_exact_dedup", """
 WITH folded AS (
     SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -115,3 +132,31 @@ def pareto_mixing(spark, folder):
 @query("op9_language_id")
 def language_id(spark, folder):
     return language.languages_of(table(spark, folder, "documents"))
+
+
+@query("op5_chat_format", r"""
+WITH rows_ AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+    SELECT *, length(role) + length(text) + 24 + length(regexp_extract_all(
+        role || chr(1) || text, '\\|<\||<s>|</s>|\[INST\]|\[/INST\]')) AS chars
+    FROM rows_
+), whole AS (
+    SELECT conv_id, count(*) AS n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+           coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                    FILTER (WHERE role = 'assistant'), '') AS loss,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM marked GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+       sha256(loss) AS loss_sha256, formatted_chars FROM whole
+""")
+def chat_format(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    fixed = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    return chat.digests(rows.unionByName(fixed))
