@@ -21,7 +21,12 @@ from postloom.llm.scratch import Scratch, is_small, unused
 
 DIGEST_CHARS = 64
 FILES_PER_BATCH = 256
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without reserving file space for every partition's store in advance.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def with_digest(rows, name="text_sha256", text="text"):
@@ -65,9 +70,9 @@ def state_of(feed, scratch, files_per_batch=FILES_PER_BATCH):
     def land(batch, number):
         batch.write.mode("overwrite").parquet(scratch.path(f"state/batch={number}"))
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, STATE_STORE)
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         query = (
             state.writeStream.outputMode("update").trigger(availableNow=True)
@@ -75,7 +80,8 @@ def state_of(feed, scratch, files_per_batch=FILES_PER_BATCH):
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     landed = scratch.read(state.schema, "state/*")
     last = landed.groupBy("digest").agg(F.max(F.struct("group_size", "keep")).alias("last"))
     return last.select("digest", "last.keep", "last.group_size")
