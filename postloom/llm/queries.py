@@ -2,7 +2,7 @@
 
 import os
 
-from postloom.llm import bpe, chat, dedup, jaccard, language, mixing
+from postloom.llm import bpe, chat, dedup, jaccard, language, mixing, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -160,3 +160,21 @@ def chat_format(spark, folder):
     odd = "</s>[INST] ok [/INST]"
     fixed = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
     return chat.digests(rows.unionByName(fixed))
+
+
+@query("op6_warc_ranges", """
+WITH payloads AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit'
+            ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM firsts
+""")
+def warc_ranges(spark, folder):
+    return warc.roundtrip(table(spark, folder, "pages"))
