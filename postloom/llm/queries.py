@@ -2,7 +2,7 @@
 
 import os
 
-from postloom.llm import bpe, chat, dedup, jaccard, language, mixing, warc
+from postloom.llm import bpe, chat, dedup, jaccard, language, licenses, mixing, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -178,3 +178,8 @@ FROM firsts
 """)
 def warc_ranges(spark, folder):
     return warc.roundtrip(table(spark, folder, "pages"))
+
+
+@query("op8_license_diagonals")
+def license_diagonals(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
