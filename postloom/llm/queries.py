@@ -2,7 +2,7 @@
 
 import os
 
-from postloom.llm import bpe, chat, dedup, jaccard, language, licenses, mixing, warc
+from postloom.llm import bpe, chat, dedup, forest, jaccard, language, licenses, mixing, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -183,3 +183,8 @@ def warc_ranges(spark, folder):
 @query("op8_license_diagonals")
 def license_diagonals(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op10_projection_forest")
+def projection_forest(spark, folder):
+    return forest.near_vectors(table(spark, folder, "embeddings"))
