@@ -2,7 +2,7 @@
 
 import os
 
-from postloom.llm import bpe, chat, dedup, forest, jaccard, language, licenses, mixing, warc
+from postloom.llm import bpe, chat, dedup, forest, jaccard, language, licenses, mixing, toxicity, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -188,3 +188,8 @@ def license_diagonals(spark, folder):
 @query("op10_projection_forest")
 def projection_forest(spark, folder):
     return forest.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op7_toxicity_grades")
+def toxicity_grades(spark, folder):
+    return toxicity.severities(table(spark, folder, "documents"), table(spark, folder, "labels"))
