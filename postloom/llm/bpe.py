@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 LEXICON_WORDS = 150_000
-CACHE_WORDS = 200_000
-COUNTED_WORDS = 400_000
+CACHE_WORDS = 100_000
+COUNTED_WORDS = 150_000
+TEXTS_AT_ONCE = 64
 SPACES = regex.compile(r"\p{White_Space}+")
 
 
@@ -210,6 +211,13 @@ def lexicon(path):
     return Lexicon(path)
 
 
+def slices(batches):
+    """Record batches of few texts, so that a worker holds little at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
 def count_words(docs, tokenizer):
     """``word, n`` over all texts, words combined in each input task."""
 
@@ -222,8 +230,8 @@ def count_words(docs, tokenizer):
                 [pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())],
                 ["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for part in slices(batches):
+            for text in part.column(0).to_pylist():
                 if text:
                     counts.update(w for w in vocab.pieces(text) if type(w) is str)
                 if len(counts) > COUNTED_WORDS:
@@ -307,14 +315,10 @@ def encode(docs, tokenizer, words=LEXICON_WORDS, text="text", ids="ids"):
 
     def task(batches):
         encoder = Encoder(vocabulary(tokenizer), lexicon(SparkFiles.get(name)))
-        for batch in batches:
-            step = 128
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                flat, ends = encoder.encode(part.column(text).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, lists], [*part.schema.names, ids])
+        for part in slices(batches):
+            flat, ends = encoder.encode(part.column(text).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
 
     added = StructField(ids, ArrayType(IntegerType()))
     return docs.mapInArrow(task, StructType([*docs.schema.fields, added]))
@@ -325,14 +329,14 @@ def decode(rows, tokenizer, ids="ids", text="decoded"):
 
     def task(batches):
         tokens = vocabulary(tokenizer).tokens
-        for batch in batches:
-            lists = batch.column(ids)
+        for part in slices(batches):
+            lists = part.column(ids)
             flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
             ends = ends - ends[0]
             found = [" ".join([tokens[i] for i in flat[a:b].tolist()])
                      for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, text])
+                [*part.columns, pa.array(found, pa.string())], [*part.schema.names, text])
 
     return rows.mapInArrow(task, StructType([*rows.schema.fields, StructField(text, StringType())]))
 
