@@ -22,7 +22,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBEDDING = 8
-TRAIN_PER_LANGUAGE = 1500
+#: Up to 1000 Spark keeps no more rows of a language in each input task either.
+TRAIN_PER_LANGUAGE = 1000
 TRAIN_ROWS = 12_000
 TRAIN_CHARS = 600
 EPOCHS = 6

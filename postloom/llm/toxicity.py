@@ -7,7 +7,6 @@ word counts the same in a short and in a long text.  A text's severity is its ex
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postloom.llm.wordbytes import run_hashes, runs, text_blocks, texts_of
@@ -61,9 +60,9 @@ def sample_labels(labels, per_class=TRAIN_PER_CLASS):
     """At most ``per_class`` labelled documents of each class, by a hash of the doc_id."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.withColumn("rank", F.row_number().over(order))
-    return drawn.where(F.col("rank") <= per_class).select("doc_id", "toxic")
+    drawn = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id")
+             .limit(per_class) for k in (0, 1)]
+    return drawn[0].unionByName(drawn[1])
 
 
 def sigmoid(x):
