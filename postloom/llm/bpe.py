@@ -9,6 +9,7 @@ of a text walk it together, one byte per step; a word it does not hold is merged
 import heapq
 import json
 import os
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -25,7 +26,6 @@ LEXICON_WORDS = 150_000
 CACHE_WORDS = 100_000
 COUNTED_WORDS = 150_000
 TEXTS_AT_ONCE = 64
-SPACES = regex.compile(r"\p{White_Space}+")
 
 
 def byte_letters():
@@ -53,6 +53,8 @@ class Vocabulary:
         self.suffix = model["end_of_word_suffix"] or ""
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        self.ascii_words = re.compile(
+            split.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("|".join(map(regex.escape, self.special)))
         self.letters = byte_letters()
@@ -71,9 +73,10 @@ class Vocabulary:
         return found + self.plain_words(text[at:])
 
     def plain_words(self, text):
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.words.findall(SPACES.sub(" ", text).lower())
+        """White space only parts words, so runs of it need not be made one space first."""
+        if text.isascii():
+            return self.ascii_words.findall(text.lower())
+        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def merge(self, word):
         """Ids of one word: the pair of the lowest rank is joined until none is left.
@@ -225,7 +228,7 @@ def count_words(docs, tokenizer):
         vocab, counts = vocabulary(tokenizer), Counter()
 
         def rows():
-            words = list(counts)
+            words = [w for w in counts if type(w) is str]
             return pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())],
                 ["word", "n"])
@@ -233,7 +236,7 @@ def count_words(docs, tokenizer):
         for part in slices(batches):
             for text in part.column(0).to_pylist():
                 if text:
-                    counts.update(w for w in vocab.pieces(text) if type(w) is str)
+                    counts.update(vocab.pieces(text))
                 if len(counts) > COUNTED_WORDS:
                     yield rows()
                     counts.clear()
@@ -285,7 +288,10 @@ class Encoder:
         if not pieces:
             return np.zeros(0, np.int32), np.zeros(len(counts) + 1, np.int64)
         # Words hold no white space, so spaces part them; a special token is a word of no bytes.
-        joined = " ".join([p if type(p) is str else "" for p in pieces]).encode()
+        try:
+            joined = " ".join(pieces).encode()
+        except TypeError:
+            joined = " ".join([p if type(p) is str else "" for p in pieces]).encode()
         data = np.frombuffer(joined, np.uint8)
         cuts = np.concatenate(([-1], np.flatnonzero(data == 32), [len(data)]))
         starts, lengths = cuts[:-1] + 1, np.diff(cuts) - 1
