@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A"):ord("Z") + 1] += 32
 SPACE = np.zeros(256, dtype=bool)
