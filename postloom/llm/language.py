@@ -26,7 +26,7 @@ EMBEDDING = 8
 TRAIN_PER_LANGUAGE = 1000
 TRAIN_ROWS = 12_000
 TRAIN_CHARS = 600
-EPOCHS = 6
+EPOCHS, LEAST_STEPS = 6, 900
 UNKNOWN = "und"
 WINDOWS_AT_ONCE = 512
 
@@ -98,7 +98,7 @@ class ByteNetwork:
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(codes)))):
             order = random.permutation(len(codes))
             for at in range(0, len(order), batch):
                 picked = order[at:at + batch]
