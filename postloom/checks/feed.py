@@ -119,9 +119,10 @@ def unnamed_posts(spark, folder):
 
 
 @query("limit_posts", """
-SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 15000""")
+SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 150""")
 def limit_posts(spark, folder):
-    return posts.first_posts(table(spark, folder, "documents", "doc_id", "text"), order="doc_id")
+    return posts.first_posts(
+        table(spark, folder, "documents", "doc_id", "text"), 150, order="doc_id")
 
 
 # ---------------------------------------------------------------- decode

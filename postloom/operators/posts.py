@@ -128,22 +128,15 @@ def unnamed_posts(posts):
     )
 
 
-def first_posts(posts, n=V.ANALYSIS_ROW_CAP, order="post_id"):
-    """The row cap of an analysis run, least ``order`` first; 0 keeps every row.
+def first_posts(posts, n=0, order="post_id"):
+    """The first ``n`` posts by ``order``; 0, the default, keeps every row.
 
-    The n-th least key of any sample bounds the n-th least key of all, so rows
-    beyond that bound are filtered out before they reach the final sort.  The
-    result does not depend on the sample.
+    Equal keys are ordered by the other columns.  Spark keeps no more than ``n`` rows of each input
+    task before the final merge.
     """
     if not n:
         return posts
-    total = posts.count()
-    if total > 100 * n:
-        sample = posts.select(order).sample((n / total) ** 0.5, seed=0)
-        least = sample.orderBy(order).limit(n).agg(F.count("*"), F.max(order)).first()
-        if least[0] == n:
-            posts = posts.where(F.col(order) <= least[1])
-    return posts.orderBy(order).limit(n)
+    return posts.orderBy(order, *[c for c in posts.columns if c != order]).limit(n)
 
 
 def keep_texts(posts, text, wanted, name="text_clean"):

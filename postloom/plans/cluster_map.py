@@ -21,7 +21,8 @@ def assign_clusters(vectors, dims=None, id="post_id", **density):
     unit = write_and_read(unit, "reduced")
     width = dims or unit.select(F.size("reduced")).first()[0]
     found = density_clusters(unit, width, id, "reduced", **density)
-    return unit.join(found, id)
+    # A post may occur several times; all its rows get its one cluster.
+    return unit.join(found.groupBy(id).agg(F.max("cluster").alias("cluster")), id)
 
 
 def summarize(members, make_labeller=None, id="post_id", text="text_clean",

@@ -31,5 +31,6 @@ def embed_table(spark, source, target, make_encoder, clean=False, limit=0, unit_
     encoded = repair_vectors(encoded, make_encoder, **options)
     if truncate_dim:
         short = vectors.truncate(F.col("embedding"), truncate_dim)
+        short = vectors.normalize(short) if unit_length else short
         encoded = encoded.withColumn("embedding", short)
     write_table(encoded, target)

@@ -1,6 +1,5 @@
 """Session defaults and the shared work folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,17 +27,11 @@ def build_session(app_name="postloom", master=None, shuffle_partitions=None, **c
 
 
 def work_dir(spark, label):
-    """A fresh folder for ``label`` below the cluster's ``spark.checkpoint.dir``.
-
-    Without that setting a temporary folder is used, but only in local mode,
-    where every task sees the same disk.
-    """
+    """A fresh folder for ``label`` below the cluster's ``spark.checkpoint.dir``, which all
+    executors share; without that setting there is none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{base.rstrip('/')}/postloom/{label}-{uuid.uuid4().hex}"
 
 

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,6 +15,7 @@ def spark():
     session = build_session(
         "tests", "local[8]", 4, spark__ui__enabled="false", spark__driver__memory="8g",
         spark__sql__streaming__metricsEnabled="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="checkpoints-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
