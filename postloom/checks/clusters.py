@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from postloom import fixed_values as V
 from postloom.checks.registry import query
 from postloom.checks.text import clean_sql
-from postloom.checks.vectors import HASHED_SQL, document_words, embeddings
+from postloom.checks.vectors import (
+    HASHED_SQL, OF_DOCUMENT, dealt_words, document_words, embeddings,
+)
 from postloom.functions.vectors import normalize
 from postloom.operators import clusters, density, vectors
 from postloom.session import write_and_read
@@ -30,6 +33,12 @@ WITH members AS (
 """
 
 
+# Documents are dealt to the vectors in turn, so that every text is used.
+VECTORS = "FROM embeddings"
+DOCUMENT_VECTORS_SQL = f"""FROM (
+    SELECT doc_id AS vec_id, label, embedding FROM documents JOIN embeddings ON {OF_DOCUMENT})"""
+
+
 def members(spark, folder):
     """Vectors with their label as cluster; label 0 plays the noise."""
     cluster = F.when(F.col("label") == 0, -1).otherwise(F.col("label"))
@@ -89,27 +98,27 @@ def cluster_sample(spark, folder):
     )
 
 
-@query("cluster_prompts", SAMPLE_SQL + rf""", lines AS (
+@query("cluster_prompts", SAMPLE_SQL.replace(VECTORS, DOCUMENT_VECTORS_SQL) + rf""", lines AS (
     SELECT cluster, rank, trim(regexp_replace(regexp_replace(
                regexp_replace({clean_sql('text')}, 'http[^\s\p{{Z}}\x1c-\x1f\x85]+', '', 'g'),
                '[^\p{{L}}\p{{N}}_\s\p{{Z}}\x1c-\x1f\x85]', '', 'g'),
                '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g')) AS line
-    FROM sample JOIN documents ON doc_id = vec_id WHERE rank <= 5)
-SELECT cluster, 'Summarize the following 10 posts into 1 concise topic of 3–6 words in English. '
-    || 'If a certain language is very prevelent include that as first word. '
-    || 'Do NOT include emojis, quotes, punctuation, hashtags, URLs, or extra commentary.'
-    || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS prompt
+    FROM sample JOIN documents ON doc_id = vec_id WHERE rank <= {V.PROMPT_POSTS})
+SELECT cluster, '{V.PROMPT_HEAD}' || string_agg(line, chr(10) ORDER BY rank) AS prompt
 FROM lines GROUP BY cluster""")
 def cluster_prompts(spark, folder):
-    words = document_words(spark, folder).withColumnRenamed("doc_id", "vec_id")
-    sample = clusters.sample_members(similar_members(spark, folder), "vec_id")
-    return as_bigint(clusters.cluster_prompts(sample.join(words, "vec_id")), "cluster")
+    rows = write_and_read(worded_members(spark, folder), "worded")
+    similar = clusters.member_similarity(
+        rows, write_and_read(clusters.centroids(rows, "embedding"), "centroids"), "embedding"
+    )
+    sample = clusters.sample_members(similar, "doc_id")
+    return as_bigint(clusters.cluster_prompts(sample), "cluster")
 
 
 TERMS_SQL = f"""
 WITH words AS (
     SELECT CAST(label AS BIGINT) AS cluster, unnest(string_split({clean_sql('text')}, ' ')) AS term
-    FROM embeddings JOIN documents ON doc_id = vec_id WHERE label <> 0
+    FROM documents JOIN embeddings ON {OF_DOCUMENT} WHERE label <> 0
 ), uses AS (
     SELECT cluster, term, count(*) AS uses FROM words WHERE term <> '' GROUP BY ALL
 ), everywhere AS (
@@ -125,8 +134,9 @@ WITH words AS (
 
 
 def worded_members(spark, folder):
-    words = document_words(spark, folder).withColumnRenamed("doc_id", "vec_id")
-    return members(spark, folder).drop("embedding").join(words, "vec_id")
+    """Every document with the cluster and vector that its number is dealt."""
+    vectors_ = members(spark, folder)
+    return dealt_words(spark, folder).join(vectors_, "vec_id")
 
 
 @query("term_scores", TERMS_SQL + """

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from postloom import fixed_values as V
 from postloom.checks.registry import FIREHOSE_SQL, ROUND_2, query
 from postloom.functions.time import delay_seconds, event_time
 from postloom.operators import activity, decode, posts
@@ -320,10 +321,14 @@ def offset_stats(spark, folder):
 # ---------------------------------------------------------------- reports
 
 
-@query("latency_grades", LANGUAGE_ACTIVITY_SQL + """
+GRADES_SQL = " ".join(
+    f"WHEN avg_delay_sec < {bound} THEN '{name}'" for bound, name in V.LATENCY_GRADES
+)
+
+
+@query("latency_grades", LANGUAGE_ACTIVITY_SQL + f"""
 SELECT window_start, avg_delay_sec, partitions_processed,
-       CASE WHEN avg_delay_sec < 1 THEN 'Excellent' WHEN avg_delay_sec < 5 THEN 'Good'
-            WHEN avg_delay_sec < 15 THEN 'Fair' ELSE 'Poor' END AS latency_grade
+       CASE {GRADES_SQL} ELSE '{V.LATENCY_GRADE_ELSE}' END AS latency_grade
 FROM activity ORDER BY window_start DESC, language LIMIT 10""")
 def latency_grades(spark, folder):
     return reports.latency_grades(language_activity(spark, folder))

@@ -18,6 +18,7 @@ WITH parts AS (
            CAST(unnest(embedding) AS DOUBLE) AS x
     FROM embeddings)
 """
+OF_DOCUMENT = "vec_id = doc_id % (SELECT count(*) FROM embeddings)"
 HASHED_SQL = f"""
 WITH words AS (
     SELECT doc_id, unnest(string_split({clean_sql('text')}, ' ')) AS word FROM documents
@@ -55,6 +56,12 @@ def document_words(spark, folder):
     )
 
 
+def dealt_words(spark, folder):
+    """``document_words`` with the vector, ``vec_id``, that each document's number is dealt."""
+    vectors_ = embeddings(spark, folder).select(F.count("*")).scalar()
+    return document_words(spark, folder).withColumn("vec_id", F.col("doc_id") % vectors_)
+
+
 @query("hashed_embeddings", HASHED_SQL + "SELECT doc_id, pos, value FROM hashed")
 def hashed_embeddings(spark, folder):
     encoded = document_words(spark, folder).select(
@@ -120,19 +127,20 @@ def bad_vectors(spark, folder):
 @query("repair_vectors", HASHED_SQL + """, bad AS (
     SELECT vec_id FROM (SELECT vec_id, label, unnest(embedding) AS x FROM embeddings)
     WHERE label <= 2 AND x < -0.2 GROUP BY vec_id)
-SELECT vec_id, pos, round(CAST(CAST(CASE WHEN norm > 0 THEN value / norm ELSE value END AS FLOAT) AS DOUBLE), 5)
+SELECT doc_id, pos, round(CAST(CAST(CASE WHEN norm > 0 THEN value / norm ELSE value END AS FLOAT) AS DOUBLE), 5)
        AS value
 FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS norm FROM hashed)
-JOIN bad ON vec_id = doc_id
+JOIN bad ON """ + OF_DOCUMENT + """
 UNION ALL
-SELECT vec_id, generate_subscripts(embedding, 1) - 1, round(CAST(unnest(embedding) AS DOUBLE), 5)
-FROM embeddings ANTI JOIN bad USING (vec_id) JOIN documents ON vec_id = doc_id""")
+SELECT doc_id, generate_subscripts(embedding, 1) - 1, round(CAST(unnest(embedding) AS DOUBLE), 5)
+FROM documents JOIN (SELECT * FROM embeddings ANTI JOIN bad USING (vec_id))
+    ON """ + OF_DOCUMENT)
 def repair_vectors(spark, folder):
-    """Damaged vectors encoded again from the text of the same number."""
-    words = document_words(spark, folder).withColumnRenamed("doc_id", "vec_id")
-    rows = damaged(spark, folder).select("vec_id", "embedding").join(words, "vec_id")
+    """Damaged vectors encoded again, each from the texts of all documents dealt to it."""
+    rows = dealt_words(spark, folder).join(
+        damaged(spark, folder).select("vec_id", "embedding"), "vec_id").drop("vec_id")
     repaired = vectors.repair_vectors(rows, vectors.hashing_encoder(), text="text_clean")
-    return by_component(repaired, "vec_id", "embedding", 5)
+    return by_component(repaired, "doc_id", "embedding", 5)
 
 
 @query("reduce_dims")

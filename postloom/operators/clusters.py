@@ -10,6 +10,7 @@ from postloom import fixed_values as V
 from postloom.functions.hashing import uniform
 from postloom.functions.text import label_answer, label_text
 from postloom.functions.vectors import cosine
+from postloom.operators.models import loaded, model_key
 from postloom.operators.skew import join_per_key, positions
 from postloom.operators.vectors import reduce_dims
 from postloom.session import write_and_read
@@ -85,15 +86,15 @@ def cluster_prompts(sample, text="text_clean", posts=V.PROMPT_POSTS):
 def label_clusters(prompts, make_labeller):
     """``cluster, summary`` by the user's text generator.
 
-    ``make_labeller`` runs once per task and returns a function from a list of
+    ``make_labeller`` runs once per Python worker and returns a function from a list of
     prompts to a list of generated texts.
     """
 
+    key = model_key(make_labeller)
+
     def label_task(frames):
-        label = None
         for frame in frames:
-            if label is None:
-                label = make_labeller()
+            label = loaded(key, make_labeller)
             frame["generated"] = label(frame["prompt"].tolist())
             yield frame[["cluster", "generated"]]
 

@@ -53,7 +53,7 @@ def with_cells(rows, dims, id="post_id", vector="embedding", cell_width=1.0, pro
     """``id, cells``: the names of the ``tables`` cells each vector lies in.
 
     The projection is one matrix product per Arrow batch; a vector that is
-    missing or of another width fails the job.
+    missing, of another width or not finite fails the job.
     """
     signs, shifts = directions(dims, projections, tables, seed)
     width = len(shifts)
@@ -61,8 +61,11 @@ def with_cells(rows, dims, id="post_id", vector="embedding", cell_width=1.0, pro
     def box_task(batches):
         for batch in batches:
             count = batch.num_rows
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            matrix = flat.astype(np.float64).reshape(count, dims)
+            widths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if (widths != dims).any() or not np.isfinite(flat).all():
+                raise ValueError(f"cannot reshape to rows of {dims} finite numbers")
+            matrix = flat.reshape(count, dims)
             boxes = np.floor(matrix @ signs / cell_width + shifts).astype(np.int32)
             ends = pa.array(np.arange(count + 1, dtype=np.int32) * width)
             lists = pa.ListArray.from_arrays(ends, pa.array(boxes.ravel()))

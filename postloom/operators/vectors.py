@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from postloom import fixed_values as V
 from postloom.functions.hashing import md5_uint
 from postloom.functions.vectors import is_finite, let
+from postloom.operators.models import loaded, model_key
 
 HASHED_DIMS = 64
 
@@ -72,17 +73,17 @@ def hashing_encoder(dims=HASHED_DIMS):
 def encode_posts(posts, make_encoder, text="text", unit_length=True, batch=V.ENCODER_BATCH):
     """``posts`` with an ``embedding`` of their ``text`` by the user's encoder.
 
-    ``make_encoder`` runs once per task, when its first rows arrive; the
-    encoder then gets ``batch`` texts at a time.  Narrow ``posts`` to the
+    ``make_encoder`` runs once per Python worker, when its first rows arrive, and
+    serves its later tasks too; the encoder gets ``batch`` texts at a time.  Narrow ``posts`` to the
     columns you need first: Spark cannot prune columns through the call.
     """
     schema = StructType([*posts.schema, StructField("embedding", ArrayType(FloatType()))])
 
+    key = model_key(make_encoder)
+
     def encode_task(frames):
-        encode = None
         for frame in frames:
-            if encode is None:
-                encode = make_encoder()
+            encode = loaded(key, make_encoder)
             texts = frame[text].fillna("").astype(str).tolist()
             parts = [
                 np.asarray(encode(texts[i : i + batch]), dtype=np.float32)

@@ -1,6 +1,7 @@
 """Running streams: sets of queries, time-boxed runs, progress."""
 
 import logging
+import time
 
 from pyspark.sql import types as T
 
@@ -55,11 +56,15 @@ class QuerySet:
         return running
 
     def watch(self, seconds, step=15):
-        """Log the health every ``step`` seconds, for ``seconds`` or until no query runs."""
-        waited = 0
-        while waited < seconds and self.health():
-            self.active()[0].awaitTermination(min(step, seconds - waited))
-            waited += step
+        """Log the health every ``step`` seconds, for ``seconds`` or until no query runs.
+
+        A query that fails is logged; the others go on.
+        """
+        end = time.monotonic() + seconds
+        while self.health() and (now := time.monotonic()) < end:
+            until = min(end, now + step)
+            while self.active() and (left := until - time.monotonic()) > 0:
+                time.sleep(min(left, 0.5))
 
     def finish(self):
         """Wait for bounded queries to end; the first failure is raised."""

@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import numpy as np
@@ -100,8 +101,10 @@ def test_copies_become_one_signature(spark):
     assert [r.weight for r in density.signatures(located).collect()] == [400]
 
 
-def test_wrong_width_fails(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "post_id int, v array<float>")
+@pytest.mark.parametrize("bad", [[[1.0]], [[1.0], [1.0, 0.0, 2.0]], [[1.0, math.nan]], [None]])
+def test_wrong_width_fails(spark, bad):
+    data = list(enumerate([[1.0, 0.0], *bad]))
+    rows = spark.createDataFrame(data, "post_id int, v array<float>")
     with pytest.raises(Exception, match="reshape"):
         density.with_cells(rows.coalesce(1), 2, vector="v").collect()
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,26 @@ def test_update_mode_refuses_a_sort(spark, recording):
     with pytest.raises(Exception, match="[Ss]ort"):
         to_memory(ordered, "sorted_updates", "update")
     QuerySet(to_memory(ordered, "sorted_complete", "complete")).finish()
+
+
+class Stub:
+    """A query that fails when it has been asked ``lives`` times whether it runs."""
+
+    def __init__(self, name, lives):
+        self.name, self.lives = name, lives
+
+    @property
+    def isActive(self):
+        self.lives -= 1
+        return self.lives >= 0
+
+    def exception(self):
+        return None if self.lives >= 0 else RuntimeError("lost")
+
+
+def test_watch_outlives_a_failed_query():
+    start = time.monotonic()
+    QuerySet(Stub("short", 1), Stub("long", 10**6)).watch(2, step=1)
+    assert time.monotonic() - start >= 2
+    QuerySet(Stub("one", 1), Stub("two", 2)).watch(60, step=30)
+    assert time.monotonic() - start < 20

@@ -1,4 +1,5 @@
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -96,3 +97,20 @@ def test_reduction(spark):
     assert np.allclose(got, data @ loadings * signs, atol=1e-4)
     turned = loadings * signs
     assert (turned[np.abs(turned).argmax(axis=0), range(3)] > 0).all()
+
+
+def test_one_model_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        open(f"{folder}/{uuid.uuid4()}", "w").close()
+        return lambda texts: np.ones((len(texts), 2))
+
+    rows = spark.range(640).select("id", F.lit("a").alias("text")).repartition(64, "id")
+    rows = rows.select("id", "text")
+    assert vectors.encode_posts(rows, make).where("size(embedding) = 2").count() == 640
+    loads = len(list(tmp_path.iterdir()))
+    assert 1 <= loads <= spark.sparkContext.defaultParallelism
+    # Another model takes the place of the last one.
+    other = vectors.encode_posts(rows, lambda: lambda texts: np.ones((len(texts), 3)))
+    assert other.where("size(embedding) = 3").count() == 640
