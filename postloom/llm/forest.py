@@ -5,9 +5,13 @@ cut go to both sides (spill).  Vectors that share a leaf of any tree are compare
 verified with the exact cosine in double precision, and linked vectors are united.
 
 The upper cuts are fitted on a bounded sample, every vector is routed.  A leaf that is still too
-large is cut further by medians over all of its vectors, so no leaf, whatever clump it holds, goes
-to one task whole.  The deeper the trees, the more of them there are, so that the chance to meet
-in some leaf does not fall with the number of vectors.
+large is cut further by medians over all of its vectors, so no leaf goes to one task whole.  Trees
+are added until partners made for the sampled vectors, at the threshold itself, are measured to
+meet in some leaf.
+
+A clump of near copies has no median that keeps its pairs together, so the trees do not get it:
+vectors near a pivot that has many links (``balls.py``) are compared exactly with all that can link
+with them, and only the rest goes to the forest.
 """
 
 import hashlib
@@ -17,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from postloom.llm.balls import ball_links, pivots_of
 from postloom.llm.graph import components
 from postloom.llm.scratch import Scratch, is_small
 
@@ -25,21 +30,12 @@ LEAF = 1024
 SPILL = 0.06
 SAMPLE = 20_000
 LEAST_SAMPLED = 16
-#: A linked pair is taken to stay together at a cut with this chance, and to be missed by all
-#: trees with at most that one.
-STAY, MISS = 0.88, 0.01
+#: The share of linked pairs at the threshold that all trees together may miss.
+MISS = 0.01
 BLOCK = 1024
 TREE_BITS = 40
 
 
-def trees_for(count, leaf=LEAF):
-    """How many trees keep the chance of a miss small at the depth ``count`` vectors need."""
-    levels = max(0, math.ceil(math.log2(max(1, count) / leaf)))
-    if not levels:
-        return 1
-    return math.ceil(math.log(MISS) / math.log(1 - STAY**levels))
-
-
 def direction(width, *key):
     """A random direction fixed by its key."""
     digest = hashlib.blake2b(":".join(map(str, key)).encode(), digest_size=8).digest()
@@ -74,26 +70,48 @@ def unit_rows(column):
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def fit_forest(sample, count, width, leaf=LEAF):
-    """Nodes of all trees: ``{(tree, node): (direction, low, high)}``; a leaf has no entry.
+def partners(vectors, threshold):
+    """For each unit vector one at cosine ``threshold`` to it, in a random direction."""
+    away = np.random.default_rng(0).normal(size=vectors.shape)
+    away -= (away * vectors).sum(axis=1, keepdims=True) * vectors
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    away /= np.where(length > 0, length, 1)
+    return threshold * vectors + math.sqrt(1 - threshold**2) * away
+
+
+def fit_forest(sample, count, width, leaf=LEAF, threshold=THRESHOLD):
+    """Nodes of all trees, ``{(tree, node): (direction, low, high)}``, and the number of trees; a
+    leaf has no entry.
 
     ``sample`` stands for ``count`` vectors.  A node is cut while it stands for more than ``leaf``
-    vectors and the sample has ``LEAST_SAMPLED`` there.
+    vectors and the sample has ``LEAST_SAMPLED`` there.  Every sampled vector goes down with a
+    partner; there are trees until the chance that partners never met is ``MISS`` on average.
+    Below the sample's reach each cut still to come keeps partners as the last cut did.
     """
-    nodes, share = {}, count / max(1, len(sample))
-    for tree in range(trees_for(count, leaf)):
-        open_nodes = [(1, np.arange(len(sample)))]
+    nodes, share, trees = {}, count / max(1, len(sample)), 0
+    mates, missed = partners(sample, threshold), np.ones(len(sample))
+    while not trees or missed.sum() > MISS * len(missed):
+        met = np.zeros(len(sample))
+        open_nodes = [(1, np.arange(len(sample)), np.arange(len(sample)), 1.0)]
         while open_nodes:
-            node, members = open_nodes.pop()
-            if len(members) * share <= leaf or len(members) < LEAST_SAMPLED:
+            node, members, pairs, stay = open_nodes.pop()
+            here = len(members) * share
+            if here <= leaf or len(members) < LEAST_SAMPLED:
+                deeper = math.ceil(math.log2(max(1, here / leaf)))
+                met[pairs] = np.maximum(met[pairs], stay**deeper)
                 continue
-            line = direction(width, "node", tree, node)
+            line = direction(width, "node", trees, node)
             place = sample[members] @ line
             low, high = np.quantile(place, [0.5 - SPILL, 0.5 + SPILL])
-            nodes[tree, node] = line, low, high
-            open_nodes.append((2 * node, members[place <= high]))
-            open_nodes.append((2 * node + 1, members[place >= low]))
-    return nodes
+            nodes[trees, node] = line, low, high
+            one, two = sample[pairs] @ line, mates[pairs] @ line
+            lower, upper = (one <= high) & (two <= high), (one >= low) & (two >= low)
+            stay = (lower | upper).mean() if len(pairs) else stay
+            open_nodes.append((2 * node, members[place <= high], pairs[lower], stay))
+            open_nodes.append((2 * node + 1, members[place >= low], pairs[upper], stay))
+        missed *= 1 - met
+        trees += 1
+    return nodes, trees
 
 
 def routed(reps, nodes, trees):
@@ -243,6 +261,29 @@ def leaf_links(rows, threshold=THRESHOLD):
         task, "vec_id bigint, linked bigint, n bigint")
 
 
+def drawn_units(reps, sample):
+    drawn = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
+    return unit_rows(drawn.column(0).combine_chunks()) if drawn.num_rows else np.zeros((0, 1))
+
+
+def links_among(reps, width, scratch, threshold, leaf, sample):
+    """``vec_id, linked, n`` of the distinct vectors ``reps``: clumps by balls, the rest by trees."""
+    count = reps.count()
+    pivots = pivots_of(drawn_units(reps, sample), count, leaf, threshold)
+    balls = None
+    if len(pivots):
+        balls, reps = ball_links(reps, pivots, scratch, threshold)
+        count = reps.count()
+    nodes, trees = fit_forest(drawn_units(reps, sample), count, width, leaf, threshold)
+    placed = scratch.save(routed(reps, nodes, trees), "placed")
+    placed = cut_large(placed, reps, width, scratch, 2 * leaf)
+    leaves = placed.groupBy("vec_id").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+    ready = reps.select("vec_id", "copies", "vector").join(leaves, "vec_id")
+    ready = ready.withColumn("leaf", F.explode("leaves"))
+    found = leaf_links(ready, threshold)
+    return scratch.save(found if balls is None else found.unionByName(balls), "found")
+
+
 def near_vectors(rows, threshold=THRESHOLD, leaf=LEAF, sample=SAMPLE):
     """``vec_id, n_links, component_id, kept`` for every row of ``rows (vec_id, embedding, ...)``.
 
@@ -259,16 +300,7 @@ def near_vectors(rows, threshold=THRESHOLD, leaf=LEAF, sample=SAMPLE):
         F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"),
         F.any_value("vector").alias("vector"))
     reps = scratch.save(reps, "reps")
-    count = reps.count()
-    drawn = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
-    vectors = unit_rows(drawn.column(0).combine_chunks()) if count else np.zeros((0, 1))
-    nodes = fit_forest(vectors, count, width, leaf)
-    placed = scratch.save(routed(reps, nodes, trees_for(count, leaf)), "placed")
-    placed = cut_large(placed, reps, width, scratch, 2 * leaf)
-    leaves = placed.groupBy("vec_id").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
-    ready = reps.select("vec_id", "copies", "vector").join(leaves, "vec_id")
-    ready = ready.withColumn("leaf", F.explode("leaves"))
-    found = scratch.save(leaf_links(ready, threshold), "found")
+    found = links_among(reps, width, scratch, threshold, leaf, sample)
     roots = components(found.select(F.col("vec_id").alias("a"), F.col("linked").alias("b")))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     known = reps.select("content", F.col("vec_id").alias("rep"), "copies")

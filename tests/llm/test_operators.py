@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 from collections import Counter
@@ -262,3 +263,24 @@ def test_vectors_link_as_brute_force(spark):
     assert all(found[i].n_links == 0 and found[i].kept for i in range(601, 606))
     assert found[600].component_id == found[0].component_id
     assert forest.near_vectors(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("closeness", [0.96, 0.92])
+def test_vectors_of_a_clump_of_several_leaves_link(spark, closeness):
+    random_ = np.random.default_rng(5)
+    noise = random_.normal(size=(1200, 64))
+    noise[:, 0] = 0
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    clump = math.sqrt(1 - closeness) * noise[:400]
+    clump[:, 0] = math.sqrt(closeness)
+    vectors = np.concatenate([clump, noise[400:], noise[400:450] + 0.01, clump[:20]])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {r.vec_id: r for r in forest.near_vectors(frame, leaf=64).collect()}
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    degree = ((vectors @ vectors.T) >= 0.9).sum(axis=1) - 1
+    inside = [*range(400), *range(1250, 1270)]
+    assert all(found[i].n_links == degree[i] for i in inside)
+    assert {found[i].component_id for i in inside} == {0}
+    assert sum(found[i].n_links for i in range(400, 1250)) >= 0.95 * degree[400:1250].sum()
+    assert all(found[i].n_links <= degree[i] for i in range(400, 1250))
