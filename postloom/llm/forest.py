@@ -42,21 +42,27 @@ def direction(width, *key):
     return np.random.default_rng(int.from_bytes(digest, "little")).normal(size=width)
 
 
-def keyed(rows, width):
-    """``vec_id, content, vector`` of the vectors that can link: ``width`` finite components, not
-    all zero, and a vec_id."""
+def keyed(rows):
+    """``vec_id, content, vector`` of the vectors that can link: finite components, not all zero,
+    and a vec_id.
+
+    ``content`` names the direction to nine digits, so multiples of a vector share it; ``vector``
+    is scaled by a power of two, so no length overflows.
+    """
 
     def task(batches):
         for batch in batches:
             ids, keys, vectors = [], [], []
             for vec_id, vector in zip(*[batch.column(i).to_pylist() for i in (0, 1)]):
-                if vec_id is None or vector is None or len(vector) != width or None in vector:
+                if vec_id is None or vector is None or None in vector:
                     continue
-                values = np.array(vector, np.float64) + 0.0
+                values = np.array(vector, np.float64)
                 if np.isfinite(values).all() and values.any():
+                    values = np.ldexp(values, -np.frexp(np.abs(values).max())[1])
+                    unit = np.round(values / np.linalg.norm(values), 9) + 0.0
                     ids.append(vec_id)
-                    keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
-                    vectors.append(vector)
+                    keys.append(hashlib.blake2b(unit.tobytes(), digest_size=16).digest())
+                    vectors.append(values)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()),
                  pa.array(vectors, pa.list_(pa.float64()))], ["vec_id", "content", "vector"])
@@ -243,14 +249,15 @@ def leaf_links(rows, threshold=THRESHOLD):
         for batch in batches:
             names = batch.column(0).to_pylist()
             columns = [batch.column(i).to_pylist() for i in (1, 2, 3)]
-            flat = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)
+            flat, ends = batch.column(4).flatten().to_numpy(), batch.column(4).offsets.to_numpy()
+            ends = ends - ends[0]
             for i, name in enumerate(names):
                 if name != leaf:
                     if parts[0]:
                         yield compared(leaf, np.array(parts[0]), np.array(parts[1]), parts[2],
                                        np.array(parts[3]))
                     leaf, parts = name, [[], [], [], []]
-                for part, value in zip(parts, (*[c[i] for c in columns], flat[i])):
+                for part, value in zip(parts, (*[c[i] for c in columns], flat[ends[i]:ends[i + 1]])):
                     part.append(value)
         if parts[0]:
             yield compared(
@@ -266,9 +273,10 @@ def drawn_units(reps, sample):
     return unit_rows(drawn.column(0).combine_chunks()) if drawn.num_rows else np.zeros((0, 1))
 
 
-def links_among(reps, width, scratch, threshold, leaf, sample):
-    """``vec_id, linked, n`` of the distinct vectors ``reps``: clumps by balls, the rest by trees."""
-    count = reps.count()
+def links_among(reps, width, threshold, leaf, sample):
+    """``vec_id, linked, n`` of the distinct vectors ``reps``, all of one width: clumps by balls, the
+    rest by trees."""
+    scratch, count = Scratch(reps.sparkSession, "forest-width"), reps.count()
     pivots = pivots_of(drawn_units(reps, sample), count, leaf, threshold)
     balls = None
     if len(pivots):
@@ -287,20 +295,25 @@ def links_among(reps, width, scratch, threshold, leaf, sample):
 def near_vectors(rows, threshold=THRESHOLD, leaf=LEAF, sample=SAMPLE):
     """``vec_id, n_links, component_id, kept`` for every row of ``rows (vec_id, embedding, ...)``.
 
-    Null vectors, vectors of zeros, with null or non-finite components, or of another length than
-    the most common one link with nothing.  Equal vectors are compared once and link with each
-    other.  Rows with a null vec_id link with nothing and are not kept.
+    Null vectors, vectors of zeros or with null or non-finite components link with nothing, and
+    vectors of different lengths do not link with each other.  Vectors of one direction are compared
+    once and link with each other.  Rows with a null vec_id link with nothing and are not kept.
     """
     scratch = Scratch(rows.sparkSession, "forest")
-    lengths = rows.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("width"))
-    common = lengths.count().orderBy(F.desc("count"), F.desc("width")).first()
-    width = common["width"] if common else 0
-    whole = scratch.save(keyed(rows, width), "keyed")
+    whole = scratch.save(keyed(rows), "keyed")
     reps = whole.groupBy("content").agg(
         F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"),
-        F.any_value("vector").alias("vector"))
-    reps = scratch.save(reps, "reps")
-    found = links_among(reps, width, scratch, threshold, leaf, sample)
+        F.min_by("vector", "vec_id").alias("vector"))
+    reps = scratch.save(reps.withColumn("width", F.size("vector")), "reps")
+    sizes = reps.groupBy("width").count()
+    large = [r.width for r in sizes.where(F.col("count") > leaf).orderBy("width").collect()]
+    # A width of no more vectors than a leaf holds is one leaf.
+    few = reps.where(~F.col("width").isin(large)).withColumn("leaf", F.col("width").cast("bigint"))
+    found = leaf_links(few.withColumn("leaves", F.array("leaf")), threshold)
+    for width in large:
+        same = reps.where(F.col("width") == width)
+        found = found.unionByName(links_among(same, width, threshold, leaf, sample))
+    found = scratch.save(found, "found")
     roots = components(found.select(F.col("vec_id").alias("a"), F.col("linked").alias("b")))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     known = reps.select("content", F.col("vec_id").alias("rep"), "copies")

@@ -284,3 +284,13 @@ def test_vectors_of_a_clump_of_several_leaves_link(spark, closeness):
     assert {found[i].component_id for i in inside} == {0}
     assert sum(found[i].n_links for i in range(400, 1250)) >= 0.95 * degree[400:1250].sum()
     assert all(found[i].n_links <= degree[i] for i in range(400, 1250))
+
+
+def test_vectors_of_every_width_and_multiples_of_one_direction_link(spark):
+    line = [[float(k), 0.0, 0.0] for k in range(1, 41)]
+    vectors = line + [[-0.0, 3e200, 4e200]] * 2 + [[1.0, 2.0]] * 3 + [[2.0, 4.0]] + [[-1.0, 2.0]] + [[5.0]]
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {r.vec_id: r for r in forest.near_vectors(frame, leaf=8).collect()}
+    assert [found[i].n_links for i in range(len(vectors))] == [39] * 40 + [1] * 2 + [3] * 4 + [0] * 2
+    assert sorted(i for i in found if found[i].kept) == [0, 40, 42, 46, 47]
