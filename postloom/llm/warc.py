@@ -25,7 +25,6 @@ RANGE_BYTES = 8 << 20
 LEAST_SHARED = 100
 MAGIC = b"\x1f\x8b\x08"
 PEEK = 1 << 16
-HEAD_LIMIT = 1 << 20
 CHUNK = 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -102,23 +101,30 @@ def write_archives(planned, folder):
 
 
 def header_at(file, position, end):
-    """``(version, fields)`` if a record starts at ``position``, else None."""
+    """``(version, fields)`` if a record starts at ``position``, else None.
+
+    Once the member starts with ``WARC/`` its header may have any length.
+    """
     file.seek(position)
-    decoder, head, taken = zlib.decompressobj(31), b"", 0
-    while b"\r\n\r\n" not in head and len(head) < HEAD_LIMIT:
-        data = file.read(min(4096, end - position - taken))
+    decoder, head, taken, searched = zlib.decompressobj(31), bytearray(), 0, 0
+    while (found := head.find(b"\r\n\r\n", searched)) < 0 and not decoder.eof:
+        searched = max(0, len(head) - 3)
+        data = decoder.unconsumed_tail
+        if not data:
+            data = file.read(min(4096, end - position - taken))
+            taken += len(data)
         if not data:
             break
-        taken += len(data)
         try:
-            head += decoder.decompress(data, HEAD_LIMIT)
+            head += decoder.decompress(data, CHUNK)
         except zlib.error:
             return None
-        if not b"WARC/".startswith(head[:5]) or decoder.eof:
-            break
-    if not head.startswith(b"WARC/") or b"\r\n\r\n" not in head:
+        if not b"WARC/".startswith(head[:5]):
+            return None
+    if not head.startswith(b"WARC/") or found < 0:
         return None
-    lines = head.split(b"\r\n\r\n", 1)[0].decode("utf-8", "replace").split("\r\n")
+    head = bytes(head[:found])
+    lines = head.decode("utf-8", "replace").split("\r\n")
     fields = {}
     for line in lines[1:]:
         name, _, value = line.partition(":")
@@ -193,6 +199,15 @@ def read_archives(archives, folder, range_bytes=RANGE_BYTES):
     return ranges.mapInArrow(task, FOUND)
 
 
+def check_counts(found, archives):
+    """Fail if an archive gave another number of records than its manifest row says."""
+    counts = found.groupBy("archive").agg(F.count("*").alias("read"))
+    wrong = archives.join(counts, "archive", "left").where(
+        F.coalesce("read", F.lit(0)) != F.col("records")).select("archive", "records", "read")
+    for name, wanted, read in wrong.limit(1).collect():
+        raise ValueError(f"{name} gave {read or 0} records of {wanted}")
+
+
 def record_row(archive, position, fields, block):
     payload = block.split(b"\r\n\r\n", 1)[-1]
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
@@ -228,6 +243,9 @@ def roundtrip(pages, least=LEAST_SHARED, range_bytes=RANGE_BYTES):
     folder = scratch.path("archives")
     folder = folder if ":/" in folder else f"file://{folder}"
     archives = scratch.save(write_archives(plan_revisits(pages, least), folder), "manifest")
-    return read_archives(archives, folder, range_bytes).select(
+    records = read_archives(archives, folder, range_bytes).drop("payload")
+    records = scratch.save(records, "records")
+    check_counts(records, archives)
+    return records.select(
         page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         page_of("refers_to").alias("refers_to"))

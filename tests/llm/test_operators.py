@@ -294,3 +294,16 @@ def test_vectors_of_every_width_and_multiples_of_one_direction_link(spark):
     found = {r.vec_id: r for r in forest.near_vectors(frame, leaf=8).collect()}
     assert [found[i].n_links for i in range(len(vectors))] == [39] * 40 + [1] * 2 + [3] * 4 + [0] * 2
     assert sorted(i for i in found if found[i].kept) == [0, 40, 42, 46, 47]
+
+
+def test_warc_header_of_any_length_and_records_are_counted(spark, odd):
+    long = random.Random(3).randbytes(900_000).hex()
+    rows = [(1, "u", "a" * 200), (2, long, "b"), (3, "x" * 3_000_000, "a" * 200), (4, "u", "c")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    found = {r.page_id: r.refers_to for r in warc.roundtrip(pages, range_bytes=300_000).collect()}
+    assert found == {1: None, 2: None, 3: 1, 4: None}
+    read = spark.createDataFrame([("a",), ("a",), ("b",)], "archive string")
+    kept = spark.createDataFrame([("a", 9, 2), ("b", 9, 1)], "archive string, bytes bigint, records bigint")
+    warc.check_counts(read, kept)
+    with pytest.raises(ValueError, match="b gave 1 records of 2"):
+        warc.check_counts(read, kept.withColumn("records", F.lit(2)))
