@@ -282,7 +282,11 @@ def languages_of(docs, **sample):
 
 
 def keep_known(docs, least=0.3, **sample):
-    """The rows of ``docs`` whose language is found with a score of ``least`` or more."""
+    """The rows of ``docs`` whose language is found with a score of ``least`` or more; when nothing
+    is labelled to learn from, all rows with a letter in their text."""
     language, score = unused(docs.columns, "lang_pred", "lang_score")
-    found = predict(docs, train(docs, **sample), language, score)
+    model = train(docs, **sample)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = predict(docs, model, language, score)
     return found.where((F.col(language) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

@@ -307,3 +307,9 @@ def test_warc_header_of_any_length_and_records_are_counted(spark, odd):
     warc.check_counts(read, kept)
     with pytest.raises(ValueError, match="b gave 1 records of 2"):
         warc.check_counts(read, kept.withColumn("records", F.lit(2)))
+
+
+def test_without_labels_only_letterless_texts_are_dropped(odd):
+    kept = language.keep_known(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == odd.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 2, None, 5, 7])
