@@ -2,7 +2,8 @@
 
 import os
 
-from postloom.llm import bpe, chat, dedup, forest, jaccard, language, licenses, mixing, toxicity, warc
+from postloom.llm import (
+    bpe, chat, dedup, forest, hmm, jaccard, language, licenses, mixing, toxicity, warc)
 
 QUERIES, ORACLES = {}, {}
 
@@ -193,3 +194,8 @@ def projection_forest(spark, folder):
 @query("op7_toxicity_grades")
 def toxicity_grades(spark, folder):
     return toxicity.severities(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_hidden_markov")
+def hidden_markov(spark, folder):
+    return hmm.text_scores(table(spark, folder, "documents"))
