@@ -3,7 +3,8 @@
 import os
 
 from postloom.llm import (
-    bpe, chat, dedup, forest, hmm, jaccard, language, licenses, mixing, toxicity, warc)
+    bpe, chat, dedup, forest, hmm, jaccard, language, licenses, mixing, strata, toxicity,
+    warc, ztrie)
 
 QUERIES, ORACLES = {}, {}
 
@@ -199,3 +200,89 @@ def toxicity_grades(spark, folder):
 @query("op12_hidden_markov")
 def hidden_markov(spark, folder):
     return hmm.text_scores(table(spark, folder, "documents"))
+
+
+@query("op11_zfast_trie", """
+WITH ordered AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(
+               length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(
+            string_split(conv_id::VARCHAR, ''),
+            lambda c: list_prepend(ascii(c)::BIGINT, list_transform(range(8), lambda i: -1::BIGINT))))),
+        lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+                            WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END)) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM ordered)
+), turns AS (
+    SELECT c.conv_id, o.k, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.base AND o.k <= c.h
+    UNION ALL
+    SELECT c.conv_id, o.k, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.k > c.h
+), placed AS (
+    SELECT conv_id, text, sha256(length(role)::VARCHAR || ':' || role || text) AS digest,
+           row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth
+    FROM turns
+), prefixes AS (
+    SELECT conv_id, depth, length(text) AS chars,
+           string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix,
+           depth = max(depth) OVER (PARTITION BY conv_id) AS is_end
+    FROM placed
+    UNION ALL
+    SELECT conv_id, 0, 0, '', NOT EXISTS (SELECT 1 FROM placed p WHERE p.conv_id = c.conv_id)
+    FROM convs c
+), nodes AS (
+    SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+           (count(*) - 1) * any_value(chars) AS saved,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+                           FILTER (WHERE is_end), '')) AS ends_sha256
+    FROM prefixes GROUP BY depth, prefix
+), children AS (
+    SELECT depth - 1 AS depth, substr(prefix, 1, length(prefix) - 64) AS prefix, count(*) AS n
+    FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), counted AS (
+    SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (depth, prefix)
+), sums AS (
+    SELECT a.depth, a.prefix, sum(b.saved) AS saved_tokens, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves
+    FROM counted a JOIN counted b ON b.depth >= a.depth AND substr(b.prefix, 1, 64 * a.depth) = a.prefix
+    GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n JOIN sums USING (depth, prefix)
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = substr(n.prefix, 1, 64 * (n.depth::INT - 1))
+""")
+def zfast_trie(spark, folder):
+    return ztrie.prefix_trie(table(spark, folder, "conversations"))
+
+
+@query("op13_length_strata", r"""
+WITH doc_terms AS (
+    SELECT doc_id, row_, term, count(*) AS tf, any_value(n) AS n FROM (
+        SELECT doc_id, row_, len(found) AS n, unnest(found) AS term FROM (
+            SELECT doc_id, row_number() OVER () AS row_, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents))
+    GROUP BY ALL
+), corpus AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM (SELECT row_, any_value(n) AS n FROM doc_terms GROUP BY 1)
+), weighed AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM doc_terms GROUP BY 1), corpus
+), asked AS (
+    SELECT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scored AS (
+    SELECT item_id, row_, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (
+        1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+    FROM asked JOIN weighed USING (term) JOIN doc_terms USING (term), corpus
+    GROUP BY item_id, row_
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM scored WHERE score > 0) WHERE rank <= 20
+""")
+def length_strata(spark, folder):
+    return strata.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
