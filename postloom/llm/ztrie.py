@@ -229,9 +229,7 @@ def totals(nodes, sequences, batches, scratch):
     tokens under the node's own edge.
     """
     ends = sequences.select(F.col("seq").alias("extent"), F.col("n").alias("own"), F.col("low").alias("own_low"))
-    path = scratch.path("with-ends")
-    nodes.join(ends, "extent", "left").write.mode("overwrite").partitionBy("batch").parquet(path)
-    whole = nodes.sparkSession.read.parquet(path)
+    whole = scratch.save(nodes.join(ends, "extent", "left"), "with-ends")
     done, tops = [], []
     up = Window.partitionBy("path").orderBy(F.desc("depth"))
     so_far = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
