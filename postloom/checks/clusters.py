@@ -8,8 +8,7 @@ from postloom.checks.text import clean_sql
 from postloom.checks.vectors import (
     HASHED_SQL, OF_DOCUMENT, dealt_words, document_words, embeddings,
 )
-from postloom.functions.vectors import normalize
-from postloom.operators import clusters, density, vectors
+from postloom.operators import clusters, density, hierarchy, neighbors, vectors
 from postloom.session import write_and_read
 from postloom.sources.tables import table
 
@@ -223,13 +222,16 @@ def kmeans_clusters(spark, folder):
 # ---------------------------------------------------------------- density
 
 
-def density_sql(points, id, width, projections, tables, min_pts, min_size):
-    """The definition of `postloom.operators.density`, step by step, as SQL CTEs."""
-    return f""", directions AS (
+PLANES_SQL = """, directions AS (
     SELECT t, p, pos, CASE WHEN substr(md5('2025:' || t || ':' || p || ':' || pos), 1, 1) < '8'
                            THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign
-    FROM range({tables}) AS a(t), range({projections}) AS b(p), range(64) AS c(pos)
-), shifts AS (
+    FROM range({tables}) AS a(t), range({lines}) AS b(p), range(64) AS c(pos)
+)"""
+
+
+def cells_sql(points, id, width, projections, tables, min_pts):
+    """The definition of `postloom.operators.density`, step by step, as SQL CTEs."""
+    return PLANES_SQL.format(tables=tables, lines=projections) + f""", shifts AS (
     SELECT t, p, CAST('0x' || substr(md5('2025:' || t || ':' || p), 1, 8) AS BIGINT)
                  / 4294967296.0::DOUBLE AS shift
     FROM range({tables}) AS a(t), range({projections}) AS b(p)
@@ -250,43 +252,17 @@ def density_sql(points, id, width, projections, tables, min_pts, min_size):
 ), links AS (
     SELECT a.cell AS one, b.cell AS two FROM inside a JOIN inside b USING ({id})
     WHERE a.cell <> b.cell GROUP BY ALL HAVING count(*) >= {min_pts}
-), reach AS (
-    SELECT cell, cell AS other FROM dense
-    UNION
-    SELECT reach.cell, links.two FROM reach JOIN links ON links.one = reach.other
-), roots AS (
-    SELECT cell, min(other) AS root FROM reach GROUP BY cell
-), placed AS (
-    SELECT {id}, root FROM (
-        SELECT {id}, cell, row_number() OVER (PARTITION BY {id} ORDER BY posts DESC, cell DESC) AS n
-        FROM inside)
-    JOIN roots USING (cell) WHERE n = 1
-), kept AS (
-    SELECT root, count(*) AS size,
-           row_number() OVER (ORDER BY CAST('0x' || substr(md5(root), 1, 13) AS BIGINT)) - 1
-               AS cluster
-    FROM placed GROUP BY root HAVING count(*) >= {min_size}
 )
 """
 
 
 VECTOR_CELLS = dict(cell_width=1.5, projections=3, tables=4)
 VECTOR_POINTS_SQL = """
-WITH RECURSIVE points AS (
+WITH points AS (
     SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos,
            CAST(unnest(embedding) AS DOUBLE) AS x
     FROM embeddings)
-""" + density_sql("points", "vec_id", 1.5, 3, 4, 8, 8)
-
-
-@query("density_clusters", VECTOR_POINTS_SQL + """
-SELECT vec_id, coalesce(cluster, -1) AS cluster
-FROM embeddings LEFT JOIN placed USING (vec_id) LEFT JOIN kept USING (root)""")
-def density_clusters(spark, folder):
-    found = density.density_clusters(
-        embeddings(spark, folder), 64, "vec_id", min_pts=8, min_cluster_size=8, **VECTOR_CELLS
-    )
-    return as_bigint(found, "cluster")
+""" + cells_sql("points", "vec_id", 1.5, 3, 4, 8)
 
 
 @query("neighbor_cells", VECTOR_POINTS_SQL + "SELECT vec_id, cell, posts FROM touched")
@@ -299,10 +275,10 @@ def neighbor_cells(spark, folder):
     return density.join_per_key(spread, dense, "cell", "posts").select("vec_id", "cell", "posts")
 
 
-@query("neighbor_edges", VECTOR_POINTS_SQL + """
+@query("cell_links", VECTOR_POINTS_SQL + """
 SELECT one AS "left", two AS "right" FROM links WHERE one < two""")
-def neighbor_edges(spark, folder):
-    """Dense cells that overlap: the edges of the density graph."""
+def cell_links(spark, folder):
+    """Dense cells that overlap."""
     _, found, dense = density.locate(
         embeddings(spark, folder), 64, "vec_id", min_pts=8, **VECTOR_CELLS
     )
@@ -310,25 +286,153 @@ def neighbor_edges(spark, folder):
     return density.cell_links(members, 8).select("left", "right")
 
 
-DOCUMENT_CELLS = dict(cell_width=0.8, projections=4, tables=8)
+# ---------------------------------------------------------------- near posts
 
 
-DOCUMENT_POINTS_SQL = HASHED_SQL.replace("WITH words", "WITH RECURSIVE words") + """, points AS (
-    SELECT doc_id, pos,
-           CAST(CAST(CASE WHEN norm > 0 THEN value / norm ELSE value END AS FLOAT) AS DOUBLE) AS x
-    FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS norm FROM hashed))
-""" + density_sql("points", "doc_id", 0.8, 4, 8, 10, 10)
+def near_sql(vectors_, id, least, k=16, tables=12, bucket=64):
+    """The definition of `postloom.operators.neighbors`, as CTEs over ``vectors_ (id, v)``."""
+    return f""", named AS (
+    SELECT min({id}) AS point, count(*) AS weight, v FROM {vectors_}
+    WHERE len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY v
+), parts AS (
+    SELECT point, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS x FROM named
+), plane_count AS (
+    SELECT greatest(0, ceil(log2(count(*) / {bucket}.0::DOUBLE)))::INT AS bits FROM named
+)""" + PLANES_SQL.format(tables=tables, lines=32) + f""", sides AS (
+    SELECT point, t, p, sum(x * sign) >= 0 AS side
+    FROM parts JOIN directions USING (pos), plane_count WHERE p < greatest(bits, 1) GROUP BY ALL
+), buckets AS (
+    SELECT point, t, sum(CASE WHEN side AND p < bits THEN 1 << p ELSE 0 END) AS bucket
+    FROM sides, plane_count GROUP BY ALL
+), first_ones AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, bucket ORDER BY md5(point::VARCHAR), point) AS n
+                   FROM buckets) WHERE n <= {bucket}
+), met AS (
+    SELECT DISTINCT a.point AS post, b.point AS near
+    FROM buckets a JOIN first_ones b USING (t, bucket) WHERE a.point <> b.point
+), near AS (
+    SELECT post, near, cosine FROM (
+        SELECT post, near, cosine, row_number() OVER (PARTITION BY post ORDER BY cosine DESC, near) AS n
+        FROM (SELECT post, near, round(list_cosine_similarity(a.v, b.v), 9) AS cosine
+              FROM met JOIN named a ON a.point = post JOIN named b ON b.point = near)
+        WHERE cosine >= {least})
+    WHERE n <= {k}
+)
+"""
+
+
+# Vectors of labels 1 to 6 drawn to a direction of their label; the other labels are noise.
+DRAWN_SQL = """
+WITH RECURSIVE drawn AS (
+    SELECT vec_id, list(CAST(x AS DOUBLE) + CASE WHEN label BETWEEN 1 AND 6 THEN
+        CASE WHEN substr(md5(label || ':' || pos), 1, 1) < '8' THEN 0.25::DOUBLE ELSE -0.25::DOUBLE END
+        ELSE 0 END ORDER BY pos) AS v
+    FROM (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x
+          FROM embeddings) GROUP BY vec_id)
+"""
+
+
+def drawn(spark, folder):
+    """Vectors of labels 1 to 6 drawn to a direction of their label; the others are noise."""
+    def moved(x, pos):
+        digit = F.substring(F.md5(F.concat("label", F.lit(":"), pos)), 1, 1)
+        return x.cast("double") + F.when(
+            F.col("label").between(1, 6), F.when(digit < "8", 0.25).otherwise(-0.25)).otherwise(0.0)
+
+    return embeddings(spark, folder).select("vec_id", F.transform("embedding", moved).alias("embedding"))
+
+
+@query("neighbor_edges", DRAWN_SQL + near_sql("drawn", "vec_id", 0.5) + """
+SELECT least(post, near) AS "left", greatest(post, near) AS "right", max(cosine) AS cosine
+FROM near GROUP BY ALL""")
+def neighbor_edges(spark, folder):
+    """Near vectors with their cosine."""
+    rows = write_and_read(drawn(spark, folder), "drawn")
+    return neighbors.neighbor_edges(neighbors.nearest(rows, 64, "vec_id", least=0.5))
+
+
+def hierarchy_sql(id, vectors_, min_pts, min_size, levels=hierarchy.LEVELS):
+    """The definition of `postloom.operators.hierarchy`, as CTEs over ``named`` and ``near``."""
+    ladder = ", ".join(f"({at}, {level}::DOUBLE, {width!r}::DOUBLE)"
+                       for at, (level, width) in enumerate(zip(levels, hierarchy.widths(levels))))
+    sql = f""", ladder(level, least, width) AS (VALUES {ladder}
+), listed AS (
+    SELECT point, weight AS posts, 1.0::DOUBLE AS cosine, -1 AS near FROM named
+    UNION ALL SELECT post, weight, cosine, near FROM near JOIN named ON point = near
+), core AS (
+    SELECT point, max(cosine) AS core FROM (
+        SELECT point, cosine, sum(posts) OVER (
+            PARTITION BY point ORDER BY near >= 0, cosine DESC, near ROWS UNBOUNDED PRECEDING) AS n FROM listed)
+    WHERE n >= {min_pts} GROUP BY point
+), entered AS (
+    SELECT point, weight, level FROM core JOIN named USING (point) JOIN ladder ON core >= least
+), reached AS (
+    SELECT DISTINCT post AS a, near AS b, level
+    FROM near JOIN core x ON x.point = post JOIN core y ON y.point = near
+    JOIN ladder ON least(cosine, x.core, y.core) >= ladder.least
+), ways AS (
+    SELECT a, b, level FROM reached UNION SELECT b, a, level FROM reached
+), reach AS (
+    SELECT level, point, point AS other FROM entered
+    UNION
+    SELECT reach.level, reach.point, ways.b FROM reach JOIN ways ON ways.level = reach.level AND ways.a = reach.other
+), placed AS (
+    SELECT level, point, min(other) AS root FROM reach GROUP BY ALL
+), parts_of AS (
+    SELECT p.level, p.root, sum(weight) AS size, sum(weight) >= {min_size} AS big
+    FROM placed p JOIN entered USING (level, point) GROUP BY ALL
+), tree AS (
+    SELECT c.*, p.root AS parent, width FROM parts_of c JOIN ladder USING (level)
+    LEFT JOIN placed p ON p.level = c.level + 1 AND p.point = c.root
+), sums_0 AS (
+    SELECT *, CASE WHEN big THEN size * width ELSE 0 END AS own,
+           CASE WHEN big THEN size * width ELSE 0 END AS best, big AS chosen FROM tree WHERE level = 0
+)"""
+    for at in range(1, len(levels)):
+        sql += f""", inner_{at} AS (
+    SELECT parent AS root, sum(own) AS own, sum(best) AS best, count(*) FILTER (WHERE big) AS parts
+    FROM sums_{at - 1} GROUP BY parent
+), owned_{at} AS (
+    SELECT t.*, CASE WHEN big THEN size * width + CASE WHEN parts = 1 THEN i.own ELSE 0 END ELSE 0 END AS own,
+           coalesce(i.best, 0) AS inner_best
+    FROM tree t LEFT JOIN inner_{at} i ON i.root = t.root WHERE level = {at}
+), sums_{at} AS (
+    SELECT * EXCLUDE (inner_best), greatest(own, inner_best) AS best,
+           big AND round(own, 6) >= round(inner_best, 6) AS chosen FROM owned_{at}
+)"""
+    every = " UNION ALL BY NAME ".join(f"SELECT * FROM sums_{at}" for at in range(len(levels)))
+    return sql + f""", every AS ({every}
+), best_of AS (
+    SELECT point, arg_max(p.root, p.level) AS root
+    FROM placed p JOIN every USING (level, root) WHERE chosen GROUP BY point
+), numbers AS (
+    SELECT root, row_number() OVER (ORDER BY CAST('0x' || substr(md5(root::VARCHAR), 1, 13) AS BIGINT)) - 1 AS cluster
+    FROM (SELECT DISTINCT root FROM best_of)
+), found AS (
+    SELECT {id}, cluster FROM {vectors_} JOIN named USING (v) JOIN best_of USING (point) JOIN numbers USING (root)
+)
+"""
+
+
+@query("density_clusters", DRAWN_SQL + near_sql("drawn", "vec_id", 0.5)
+       + hierarchy_sql("vec_id", "drawn", 8, 8) + """
+SELECT vec_id, coalesce(cluster, -1) AS cluster FROM embeddings LEFT JOIN found USING (vec_id)""")
+def density_clusters(spark, folder):
+    found = hierarchy.density_clusters(drawn(spark, folder), 64, "vec_id", min_pts=8, min_cluster_size=8)
+    return as_bigint(found, "cluster")
+
+
+DOCUMENT_POINTS_SQL = HASHED_SQL.replace("WITH words", "WITH RECURSIVE words") + """, lists AS (
+    SELECT doc_id, list(value ORDER BY pos) AS v FROM hashed GROUP BY doc_id)
+""" + near_sql("lists", "doc_id", 0.5) + hierarchy_sql("doc_id", "lists", 10, 10)
 
 
 @query("document_clusters", DOCUMENT_POINTS_SQL + """
-SELECT doc_id, coalesce(cluster, -1) AS cluster
-FROM documents LEFT JOIN placed USING (doc_id) LEFT JOIN kept USING (root)""")
+SELECT doc_id, coalesce(cluster, -1) AS cluster FROM documents LEFT JOIN found USING (doc_id)""")
 def document_clusters(spark, folder):
-    """Documents by their words: cleaned, encoded, brought to unit length, clustered."""
+    """Documents by their words: cleaned, encoded, clustered."""
     encoded = document_words(spark, folder).select(
-        "doc_id", normalize(vectors.hashed_embedding(F.col("text_clean"))).alias("embedding")
-    )
-    found = density.density_clusters(
-        encoded, 64, "doc_id", min_pts=10, min_cluster_size=10, **DOCUMENT_CELLS
+        "doc_id", vectors.hashed_embedding(F.col("text_clean")).alias("embedding")
     )
+    found = hierarchy.density_clusters(encoded, 64, "doc_id", min_pts=10, min_cluster_size=10)
     return as_bigint(found, "cluster")

@@ -1,4 +1,4 @@
-"""Density clustering over cells, with noise.
+"""Dense cells: where posts meet, and how cells are linked.
 
 A cell is a box of ``cell_width`` along ``projections`` random directions; each
 of ``tables`` tables has its own directions and offsets, so that close posts
@@ -8,17 +8,10 @@ parted by an edge in one table share a cell in another.
 * A post is a core post when it lies in ``min_cells`` dense cells; one dense
   cell alone can be chance.
 * Two dense cells are linked when ``min_pts`` core posts lie in both.
-* A cluster is a connected set of dense cells; a core post belongs to the
-  cluster of its fullest dense cell.
-* Other posts, and clusters below ``min_cluster_size``, are noise.
 
-Choose ``cell_width`` at several times the distance of neighbours, and more
-``projections`` the more posts there are: chance meetings of far posts in a cell
-fade with each, and so must stay below ``min_pts``.
-
-The work grows with the number of posts, not with the number of close pairs:
-copies and near copies of a post collapse into one weighted signature before
-anything is joined, and the graph to be connected has only dense cells in it.
+Cells count posts without comparing them; clusters come from compared neighbours,
+see ``operators/hierarchy.py``.  Copies of a post collapse into one weighted
+signature before anything is joined.
 """
 
 import hashlib
@@ -34,6 +27,7 @@ from postloom.operators.skew import join_per_key, positions
 from postloom.session import write_and_read
 
 MIN_CELLS = 2
+FEW_EDGES = 100_000
 
 
 def directions(dims, projections, tables, seed):
@@ -173,17 +167,48 @@ def is_star_forest(edges):
     return nodes.where("hangs + holds > 1").isEmpty()
 
 
-def components(links):
-    """``cell, root`` for every linked cell that is not itself a root.
+def united(edges):
+    """``cell, root`` of a bounded number of edges, by union-find in one task."""
+    kind = edges.schema["of"].dataType.simpleString()
+
+    def task(batches):
+        parent = {}
 
-    Alternating large-star and small-star steps; the number of edges never
-    grows, and the rounds needed grow with the logarithm of the graph.  Each
-    round is written down, so a lost executor does not replay earlier rounds.
+        def find(x):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        like = None
+        for batch in batches:
+            like = batch
+            for one, two in zip(batch.column("of").to_pylist(), batch.column("to").to_pylist()):
+                one, two = find(one), find(two)
+                parent[max(one, two)] = min(one, two)
+        if like is not None:
+            cells = [x for x in parent if find(x) != x]
+            type_ = like.schema.field("of").type
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells, type_), pa.array([find(x) for x in cells], type_)], ["cell", "root"])
+
+    return edges.repartition(1).mapInArrow(task, f"cell {kind}, root {kind}")
+
+
+def components(links, few=FEW_EDGES):
+    """``cell, root`` for every linked cell that is not itself a root; the root is the least cell.
+
+    Up to ``few`` edges, a bound that does not grow with the data, are united by one task.  More
+    take alternating large-star and small-star steps: the number of edges never grows, and the
+    rounds needed grow with the logarithm of the graph.  Each round is written down, so a lost
+    executor does not replay earlier rounds.
     """
     edges = write_and_read(
         links.select(F.greatest("left", "right").alias("of"), F.least("left", "right").alias("to")),
         "edges",
     )
+    if edges.count() <= few:
+        return write_and_read(united(edges), "united")
     while not is_star_forest(edges):
         edges = write_and_read(large_star(edges), "edges")
         edges = write_and_read(small_star(edges), "edges")
@@ -192,7 +217,7 @@ def components(links):
 
 def numbered(clusters):
     """Clusters numbered from 0, in the order of a hash of their root cell."""
-    hashed = clusters.withColumn("_order", md5_uint(F.col("root"), 1, 13))
+    hashed = clusters.withColumn("_order", md5_uint(F.col("root").cast("string"), 1, 13))
     return positions(hashed, "_order", "cluster").withColumn(
         "cluster", F.col("cluster").cast("int")
     ).drop("_order")
@@ -204,27 +229,3 @@ def locate(rows, dims, id="post_id", vector="embedding", min_pts=V.MIN_CLUSTER_S
     located = write_and_read(with_cells(rows, dims, id, vector, **cell_options), "cells")
     found = write_and_read(signatures(located), "signatures")
     return located, found, write_and_read(dense_cells(found, min_pts), "dense-cells")
-
-
-def density_clusters(rows, dims, id="post_id", vector="embedding", min_pts=V.MIN_CLUSTER_SIZE,
-                     min_cluster_size=V.MIN_CLUSTER_SIZE, min_cells=MIN_CELLS, **cell_options):
-    """``id, cluster`` for every row; noise has cluster -1."""
-    located, found, dense = locate(rows, dims, id, vector, min_pts, **cell_options)
-    members = write_and_read(dense_members(found, dense, min_cells), "members")
-    roots = components(cell_links(members, min_pts))
-    cells = dense.join(roots, "cell", "left").select(
-        "cell", F.coalesce("root", "cell").alias("root"), "signatures"
-    )
-    cells = write_and_read(cells, "rooted-cells")
-    rooted = join_per_key(members, cells, "cell", "signatures").select("cells", "weight", "root")
-    rooted = write_and_read(rooted, "rooted")
-    sizes = rooted.groupBy("root").agg(
-        F.sum("weight").alias("size"), F.count("*").alias("signatures")
-    )
-    kept = write_and_read(sizes.where(F.col("size") >= min_cluster_size), "clusters")
-    numbers = numbered(kept).select("root", "signatures", "cluster")
-    numbers = write_and_read(numbers, "numbers")
-    named = join_per_key(rooted, numbers, "root", "signatures")
-    named = write_and_read(named.select("cells", "weight", "cluster"), "named")
-    placed = join_per_key(located, named, "cells", "weight", how="left")
-    return placed.select(id, F.coalesce("cluster", F.lit(V.NOISE)).alias("cluster"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from postloom import fixed_values as V
 from postloom.functions.vectors import normalize
 from postloom.operators import clusters
-from postloom.operators.density import density_clusters
+from postloom.operators.hierarchy import density_clusters
 from postloom.operators.vectors import reduce_dims
 from postloom.session import write_and_read
 
@@ -20,9 +20,12 @@ def assign_clusters(vectors, dims=None, id="post_id", **density):
         unit = reduce_dims(unit, dims, "reduced")
     unit = write_and_read(unit, "reduced")
     width = dims or unit.select(F.size("reduced")).first()[0]
-    found = density_clusters(unit, width, id, "reduced", **density)
-    # A post may occur several times; all its rows get its one cluster.
-    return unit.join(found.groupBy(id).agg(F.max("cluster").alias("cluster")), id)
+    # A post may occur several times: its first vector stands for it, and all its rows get its
+    # one cluster.  Rows without an id stay, as noise.
+    posts = unit.groupBy(id).agg(F.min("reduced").alias("reduced"))
+    found = density_clusters(posts.where(F.col(id).isNotNull()), width, id, "reduced", **density)
+    return unit.join(found, id, "left").withColumn(
+        "cluster", F.coalesce("cluster", F.lit(V.NOISE)))
 
 
 def summarize(members, make_labeller=None, id="post_id", text="text_clean",
