@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from postloom import fixed_values as V
 from postloom.checks.registry import FIREHOSE_SQL, ROUND_2, query
 from postloom.functions.time import delay_seconds, event_time
-from postloom.operators import activity, decode, posts
+from postloom.operators import activity, decode, panes, posts
 from postloom.plans import reports
 from postloom.sources.tables import firehose, spread, table, topic
 
@@ -237,12 +237,24 @@ def language_activity(spark, folder):
     return activity.language_activity(firehose(spark, folder), exact=True)
 
 
-@query("language_activity_approx")
+def compared(approx, exact, keys, names, error=panes.SKETCH_ERROR):
+    """``exact`` with a column per name: whether ``approx`` comes within three standard errors."""
+    guesses = approx.select(*keys, *(F.col(n).alias(f"{n}_guess") for n in names))
+    joined = exact.join(guesses, keys, "left")
+    for name in names:
+        near = F.abs(F.col(f"{name}_guess") - F.col(name)) <= 3 * error * F.col(name)
+        joined = joined.withColumn(f"{name}_close", F.coalesce(near, F.lit(False))).drop(f"{name}_guess")
+    return joined
+
+
+@query("language_activity_approx", LANGUAGE_ACTIVITY_SQL + "SELECT *, TRUE AS unique_users_close FROM activity")
 def language_activity_approx(spark, folder):
-    return activity.language_activity(firehose(spark, folder))
+    feed = firehose(spark, folder)
+    return compared(activity.language_activity(feed), activity.language_activity(feed, exact=True),
+                    ["window_start", "window_end", "language"], ["unique_users"], 0.05)
 
 
-@query("platform_health", FIREHOSE_SQL + f""", spread AS (
+HEALTH_SQL = FIREHOSE_SQL + f""", spread AS (
     SELECT *, unnest([time_us // 30000000 * 30000000,
                       time_us // 30000000 * 30000000 - 30000000]) AS start_us
     FROM firehose)
@@ -256,15 +268,20 @@ SELECT make_timestamp(start_us) AS window_start,
        count(*) FILTER (WHERE kind = 'identity') AS identity_messages,
        count(*) FILTER (WHERE kind = 'account') AS account_messages,
        {ROUND_2.format("count(*) FILTER (WHERE kind = 'commit') * 100.0 / count(*)")}
-           AS commit_pct
-FROM spread GROUP BY start_us""")
+           AS commit_pct{{more}}
+FROM spread GROUP BY start_us"""
+
+
+@query("platform_health", HEALTH_SQL.format(more=""))
 def platform_health(spark, folder):
     return activity.platform_health(firehose(spark, folder), exact=True)
 
 
-@query("platform_health_approx")
+@query("platform_health_approx", HEALTH_SQL.format(more=", TRUE AS unique_users_close"))
 def platform_health_approx(spark, folder):
-    return activity.platform_health(firehose(spark, folder))
+    feed = firehose(spark, folder)
+    return compared(activity.platform_health(feed), activity.platform_health(feed, exact=True),
+                    ["window_start", "window_end"], ["unique_users"], 0.05)
 
 
 LANGUAGE_TUMBLING_SQL = FIREHOSE_SQL + """, tumbling AS (
@@ -291,9 +308,14 @@ def unique_users_exact(spark, folder):
     return activity.unique_users(firehose(spark, folder), exact=True)
 
 
-@query("unique_users_approx")
+@query("unique_users_approx", FIREHOSE_SQL + """
+SELECT date_trunc('hour', post_timestamp) AS hour, count(DISTINCT partition_key) AS unique_users,
+       count(DISTINCT "partition") AS partitions, TRUE AS unique_users_close
+FROM firehose GROUP BY 1""")
 def unique_users_approx(spark, folder):
-    return activity.unique_users(firehose(spark, folder))
+    feed = firehose(spark, folder)
+    return compared(activity.unique_users(feed), activity.unique_users(feed, exact=True),
+                    ["hour"], ["unique_users"], 0.05)
 
 
 @query("kind_counts", FIREHOSE_SQL + """

@@ -3,8 +3,11 @@
 The connector is a package of its own; name it with ``spark.jars.packages``.
 """
 
+from postloom import fixed_values as V
 from postloom.operators.decode import decode_messages
 
+TOPIC_COLUMNS = ["key", "value", "topic", "partition", "offset", "timestamp"]
+
 # Fixed format of the PLAIN login line.
 LOGIN_LINE = (
     "org.apache.kafka.common.security.plain.PlainLoginModule required "
@@ -24,9 +27,11 @@ def login_options(user=None, password=None, protocol="SASL_PLAINTEXT"):
 
 
 def read_options(servers, topic, starting="latest", max_offsets=None, group_prefix=None,
-                 min_partitions=None, user=None, password=None):
+                 min_partitions=None, user=None, password=None, min_offsets=None, max_delay=None):
     """Source options as strings.
 
+    A batch takes at most ``max_offsets`` messages.  With ``min_offsets`` it waits for that many, but
+    no longer than ``max_delay``, so that a trickle does not become many small batches.
     ``group_prefix`` names consumer groups: each query gets a group of its own
     under it, so that queries do not take messages from each other.
     """
@@ -35,6 +40,8 @@ def read_options(servers, topic, starting="latest", max_offsets=None, group_pref
         "subscribe": topic,
         "startingOffsets": starting,
         "maxOffsetsPerTrigger": max_offsets,
+        "minOffsetsPerTrigger": min_offsets,
+        "maxTriggerDelay": max_delay,
         "groupIdPrefix": group_prefix,
         "minPartitions": min_partitions,
         **login_options(user, password),
@@ -53,10 +60,23 @@ def write_options(servers, topic, user=None, password=None, **producer):
     }
 
 
+def kafka_messages(spark, servers, topic, max_offsets=V.ANALYTICS_MAX_OFFSETS, **options):
+    """The topic as a stream of undecoded messages, ``max_offsets`` per batch at most.
+
+    The default suits the live job; the collection job takes ``COLLECTION_MAX_OFFSETS``.
+    """
+    chosen = read_options(servers, topic, max_offsets=max_offsets, **options)
+    return spark.readStream.format("kafka").options(**chosen).load().select(*TOPIC_COLUMNS)
+
+
 def kafka_stream(spark, servers, topic, **options):
-    """The topic as a stream of decoded messages."""
-    source = spark.readStream.format("kafka").options(**read_options(servers, topic, **options))
-    return decode_messages(source.load())
+    """The topic as a stream of decoded messages, see ``kafka_messages``."""
+    return decode_messages(kafka_messages(spark, servers, topic, **options))
+
+
+def collection_messages(spark, servers, topic, max_offsets=V.COLLECTION_MAX_OFFSETS, **options):
+    """The topic for the collection job, in larger batches."""
+    return kafka_messages(spark, servers, topic, max_offsets, **options)
 
 
 def kafka_batch(spark, servers, topic, starting="earliest", **options):

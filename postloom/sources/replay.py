@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from postloom import fixed_values as V
 
 
-def record_topic(topic, path, slices=1, files_per_slice=8, time="timestamp", newest_first=False):
+def record_topic(topic, path, slices=1, files_per_slice=8, time="timestamp", newest_first=False,
+                 rows_per_file=None):
     """Write ``topic`` so that a replay delivers it slice by slice.
 
     Slices are equal spans of ``time``, written one after the other; a replay
-    of ``files_per_slice`` files per batch takes one slice per batch.
+    of ``files_per_slice`` files per batch takes one slice per batch.  No file has more than
+    ``rows_per_file`` rows, so a replay of one file per batch admits no more.
     """
     if slices > 1:
         seconds = F.unix_micros(time)
@@ -20,7 +22,8 @@ def record_topic(topic, path, slices=1, files_per_slice=8, time="timestamp", new
     order = range(slices - 1, -1, -1) if newest_first else range(slices)
     for number in order:
         chosen = topic.where(part == number) if slices > 1 else topic
-        chosen.repartition(files_per_slice).write.mode("append").parquet(path)
+        chosen.repartition(files_per_slice).write.mode("append").option(
+            "maxRecordsPerFile", rows_per_file or 0).parquet(path)
     return path
 
 

@@ -92,20 +92,25 @@ def run_for(query, seconds):
     return query
 
 
+def progress_row(progress):
+    """One batch's progress as a row of ``PROGRESS_SCHEMA``."""
+    states = progress.stateOperators
+    return (
+        progress.name,
+        progress.batchId,
+        progress.timestamp,
+        progress.numInputRows,
+        float(progress.processedRowsPerSecond),
+        progress.eventTime.get("watermark"),
+        sum(state.numRowsTotal for state in states),
+        sum(state.numRowsDroppedByWatermark for state in states),
+    )
+
+
 def progress_table(spark, queries):
-    """The recent batches of the queries, one row each; the session keeps the last 100 per query."""
-    rows = []
-    for query in queries:
-        for progress in query.recentProgress:
-            states = progress.stateOperators
-            rows.append((
-                query.name,
-                progress.batchId,
-                progress.timestamp,
-                progress.numInputRows,
-                float(progress.processedRowsPerSecond),
-                progress.eventTime.get("watermark"),
-                sum(state.numRowsTotal for state in states),
-                sum(state.numRowsDroppedByWatermark for state in states),
-            ))
+    """The recent batches of the queries, one row each.
+
+    The session keeps the last 100 per query; ``progress.ProgressLog`` keeps them all.
+    """
+    rows = [progress_row(progress) for query in queries for progress in query.recentProgress]
     return spark.createDataFrame(rows, PROGRESS_SCHEMA)
