@@ -1,16 +1,16 @@
 """Ranked lexical search over a length-stratified index.
 
 Documents whose lengths give the same normaliser ``m`` form a stratum, in which a posting's impact
-depends on its term frequency alone.  Each input task indexes its own documents as a shard: a row of
-the index is one term, stratum and term frequency with the documents that have it, so the impact of
-a row is computed once for all of them.  Documents are numbered within their part of a stratum, by
-doc_id; the row of the empty term has their doc_ids.  Nothing is shuffled to build the index.
-
-A search reads the rows of the asked terms.  The highest impact of each term within a stratum bounds
-the score of all its documents.  Each item first visits its best-bounded strata, enough of them to
-hold ``SEED_DOCS`` matches, which gives a score its answers must reach; then every other stratum
-whose bound reaches that score, skipping the shards' parts of it whose own bound does not.  No
-document that could be among the answers is left out.
+depends on its term frequency alone.  Each input task indexes its own documents as a shard.  A row of
+the index is a shard's part of a stratum: its doc_ids, and its postings by term and term frequency,
+the documents of equal frequency together, so that an impact is computed once for all of them.
+Nothing is shuffled to build the index.
+
+A search picks the asked terms out of every part.  The highest frequency of each term bounds the
+score of all documents of a part.  Each item first visits its best-bounded strata, enough of them to
+hold ``SEED_DOCS`` matches, which gives a score that its answers must reach; then every other part
+whose bound reaches it, and a task raises that score as it finds better documents.  No document that
+could be among the answers is left out.
 """
 
 import math
@@ -18,16 +18,19 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postloom.llm.scratch import Scratch, is_small
+from postloom.llm.scratch import Scratch
 
 TOP = 20
 SEED_DOCS = 200
-SHARD_POSTINGS = 4_000_000
-PART_POSTINGS = 2_000_000
+SHARD_POSTINGS = 1_500_000
+BATCH_POSTINGS = 100_000
+TASK_POSTINGS = 1_000_000
+SCORES_AT_ONCE = 4_000_000
 ITEM_BYTES = 4 << 20
 FLOOR, SLOPE = 75, 25
 WEIGHT, IMPACT, FREQUENCY, LENGTH = 1000, 1_000_000_000, 1000, 12
@@ -64,8 +67,17 @@ def normaliser(n, count, total):
     return FLOOR + SLOPE * n * count // total
 
 
+PARTS = "ids array<bigint>, terms array<{term}>, tf array<int>, sizes array<int>, docs array<int>"
+
+
+def part_columns(ids, terms, tf, sizes, docs, id_ends, row_ends, doc_ends):
+    """The list columns of several parts, from flat arrays and the ends of each part in them."""
+    lists = [(ids, id_ends), (terms, row_ends), (tf, row_ends), (sizes, row_ends), (docs, doc_ends)]
+    return [pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), v) for v, e in lists]
+
+
 class Shard:
-    """The postings of one shard, held as numbers until they are ordered into index rows."""
+    """The postings of one shard, held as numbers until they are ordered into parts."""
 
     def __init__(self, name):
         self.name, self.size = name, 0
@@ -91,8 +103,9 @@ class Shard:
         self.postings.append((keys, tf.astype(np.int32)))
         self.size += len(keys)
 
-    def rows(self):
-        """Record batches of the index, ordered by stratum, and a part's doc_ids before its terms."""
+    def parts(self):
+        """Record batches of the index, ordered by stratum; documents are numbered within a part by
+        doc_id, null first."""
         if not self.docs:
             return
         strata = np.array(self.strata, np.int64)
@@ -101,36 +114,42 @@ class Shard:
         order = np.lexsort((known, ~missing, strata))
         begins = np.r_[True, strata[order][1:] != strata[order][:-1]]
         starts = np.flatnonzero(begins)
-        local = np.empty(len(order), np.int64)
-        local[order] = np.arange(len(order)) - starts[np.cumsum(begins) - 1]
-        ids = pa.array(known[order], mask=missing[order])
-        ends = np.r_[starts, len(order)]
-        yield from self.batches(strata[order][starts], [b""] * len(starts), np.zeros(len(starts), np.int64), ends, ids)
+        part = np.empty(len(order), np.int64)
+        part[order] = np.cumsum(begins) - 1
+        local = np.empty(len(order), np.int32)
+        local[order] = np.arange(len(order)) - starts[part[order]]
+        ids, m = pa.array(known[order], mask=missing[order]), strata[order][starts]
+        id_ends = np.r_[starts, len(order)]
         keys = np.concatenate([k for k, _ in self.postings])
         tf = np.concatenate([f for _, f in self.postings])
-        doc, term = keys >> 32, keys & 0xFFFFFFFF
-        order = np.lexsort((local[doc], tf, term, strata[doc]))
+        self.postings = []
+        doc, term = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32)
+        order = np.lexsort((local[doc], tf, term, part[doc]))
         doc, term, tf = doc[order], term[order], tf[order]
-        m = strata[doc]
-        cuts = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])])
-        names = list(self.vocabulary)
-        yield from self.batches(
-            m[cuts], [names[t] for t in term[cuts].tolist()], tf[cuts].astype(np.int64),
-            np.r_[cuts, len(doc)], pa.array(local[doc]))
-
-    def batches(self, m, names, tf, ends, ids):
-        for at in range(0, len(m), 1 << 16):
-            to = min(at + (1 << 16), len(m))
-            offsets = pa.array((ends[at:to + 1] - ends[at]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(to - at, self.name)), pa.array(m[at:to]),
-                pa.array(names[at:to], pa.binary()), pa.array(tf[at:to]),
-                pa.ListArray.from_arrays(offsets, ids[ends[at]:ends[to]]),
-            ], ["shard", "m", "term", "tf", "docs"])
+        place = part[doc]
+        cuts = np.flatnonzero(np.r_[
+            True, (place[1:] != place[:-1]) | (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])])
+        row_ends = np.searchsorted(place[cuts], np.arange(len(m) + 1))
+        doc_ends = np.searchsorted(place, np.arange(len(m) + 1))
+        names = pa.array(list(self.vocabulary), pa.binary())
+        sizes = np.diff(np.r_[cuts, len(doc)]).astype(np.int32)
+        local = local[doc]
+        at = 0
+        while at < len(m):
+            to = max(at + 1, int(np.searchsorted(doc_ends, doc_ends[at] + BATCH_POSTINGS)) - 1)
+            rows = slice(row_ends[at], row_ends[to])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(to - at, self.name)), pa.array(m[at:to]), *part_columns(
+                    ids[id_ends[at]:id_ends[to]], names.take(pa.array(term[cuts[rows]])),
+                    pa.array(tf[cuts[rows]]), pa.array(sizes[rows]),
+                    pa.array(local[doc_ends[at]:doc_ends[to]]), id_ends[at:to + 1],
+                    row_ends[at:to + 1], doc_ends[at:to + 1])],
+                ["shard", "m", "ids", "terms", "tf", "sizes", "docs"])
+            at = to
 
 
 def build_index(docs, count, total):
-    """``shard, m, term, tf, docs`` for all terms of all documents.
+    """``shard, m, ids, terms, tf, sizes, docs``: one row per part, all terms of all documents.
 
     A shard is one input task's documents, or a part of them with ``SHARD_POSTINGS`` postings.  A
     null doc_id is indexed as any other; a repeated one is one document per row.
@@ -143,12 +162,12 @@ def build_index(docs, count, total):
                 part = batch.slice(at, 64)
                 shard.add(part.column("doc_id").to_pylist(), binary_texts(part), count, total)
                 if shard.size >= SHARD_POSTINGS:
-                    yield from shard.rows()
+                    yield from shard.parts()
                     shard = Shard(shard.name + 1)
-        yield from shard.rows()
+        yield from shard.parts()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        task, "shard bigint, m bigint, term binary, tf bigint, docs array<bigint>")
+        task, "shard bigint, m bigint, " + PARTS.format(term="binary"))
 
 
 def item_terms(items):
@@ -172,115 +191,181 @@ def item_terms(items):
     return chosen.mapInArrow(task, "item_id bigint, place bigint, term binary, repeats bigint")
 
 
-def impact(tf, m):
-    """What a unit of weight adds to the score, rounded down."""
-    return F.call_function("div", F.lit(IMPACT) * tf, FREQUENCY * tf + LENGTH * m)
+def item_groups(asked, limit=ITEM_BYTES):
+    """The rows of ``asked`` in groups of whole items, of at most ``limit`` bytes or one item each."""
+    group, size, last = [], 0, None
+    for row in asked.orderBy("place").toLocalIterator():
+        if row["place"] != last and size > limit:
+            yield group
+            group, size = [], 0
+        last = row["place"]
+        group.append((row["place"], bytes(row["term"]), row["repeats"]))
+        size += len(row["term"]) + 64
+    if group:
+        yield group
+
+
+class Items:
+    """A group of items: its terms, and for each of them the items that ask for it, numbered."""
+
+    def __init__(self, group):
+        self.places = np.array(sorted({place for place, _, _ in group}), np.int64)
+        self.terms = sorted({term for _, term, _ in group})
+        term = {t: i for i, t in enumerate(self.terms)}
+        pairs = np.array([(term[t], p, n) for p, t, n in group], np.int64)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        self.item = np.searchsorted(self.places, pairs[:, 1])
+        self.repeats = pairs[:, 2]
+        self.weight = np.zeros(len(pairs))
+        self.start = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1))
+
+    def weigh(self, weights):
+        """Set the weights of the terms, by their numbers."""
+        self.weight = (self.repeats * np.repeat(weights, np.diff(self.start))).astype(np.float64)
+
+    def askers(self, terms):
+        """``which of terms, pair`` for every item that asks for one of ``terms``."""
+        counts = self.start[terms + 1] - self.start[terms]
+        row = np.repeat(np.arange(len(terms)), counts)
+        return row, inside(counts) + self.start[terms][row]
 
 
-def weights(matched, count):
-    """``term, weight`` of the asked terms that occur."""
-    found = matched.where("tf > 0").groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+def inside(sizes):
+    """0, 1, ... within each of several runs."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def matched_parts(index, names):
+    """Parts with the asked terms only, by their numbers in ``names``, which is one group's terms."""
+    shipped = index.sparkSession.sparkContext.broadcast(names)
 
     def task(batches):
+        asked = pa.array(shipped.value, pa.binary())
         for batch in batches:
-            known = [math.floor(WEIGHT * math.log((2 * count + 2) / (2 * df + 1)))
-                     for df in batch.column("df").to_pylist()]
+            lists = batch.column("terms")
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            number = pc.index_in(lists.flatten(), value_set=asked)
+            hit = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+            if not len(hit):
+                continue
+            ends -= ends[0]
+            of_part = np.searchsorted(ends, hit, side="right") - 1
+            sizes = batch.column("sizes").flatten().to_numpy()
+            flat = batch.column("docs").flatten().to_numpy()
+            before = np.cumsum(sizes, dtype=np.int64) - sizes
+            picked = inside(sizes[hit]) + np.repeat(before[hit], sizes[hit])
+            parts, row_ends = np.unique(of_part, return_index=True)
+            row_ends = np.r_[row_ends, len(hit)]
+            doc_ends = np.r_[0, np.cumsum(sizes[hit], dtype=np.int64)][row_ends]
+            chosen = batch.take(pa.array(parts))
+            ids = chosen.column("ids")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("term"), pa.array(known, pa.int64())], ["term", "weight"])
+                [chosen.column("m"), *part_columns(
+                    ids.flatten(), number.take(pa.array(hit)),
+                    batch.column("tf").flatten().take(pa.array(hit)), pa.array(sizes[hit]),
+                    pa.array(flat[picked]), ids.offsets.to_numpy().astype(np.int64), row_ends, doc_ends)],
+                ["m", "ids", "terms", "tf", "sizes", "docs"])
 
-    return found.mapInArrow(task, "term binary, weight bigint")
+    return index.mapInArrow(task, "m bigint, " + PARTS.format(term="int"))
 
 
-def item_parts(asked, limit=ITEM_BYTES):
-    """The rows of ``asked (place, term, repeats, weight)`` in parts of whole items, of at most
-    ``limit`` bytes or one item each."""
-    part, size, last = [], 0, None
-    for row in asked.orderBy("place").toLocalIterator():
-        if row["place"] != last and size > limit:
-            yield part
-            part, size = [], 0
-        last = row["place"]
-        part.append((row["place"], bytes(row["term"]), row["repeats"] * row["weight"]))
-        size += len(row["term"]) + 64
-    if part:
-        yield part
+def document_counts(parts, terms):
+    """How many documents have each of a group's ``terms`` numbers; one row per task and term."""
 
+    def task(batches):
+        found = np.zeros(terms, np.int64)
+        for batch in batches:
+            np.add.at(found, batch.column("terms").flatten().to_numpy(),
+                      batch.column("sizes").flatten().to_numpy())
+        used = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used])], ["term", "df"])
 
-class Items:
-    """The items of one part, numbered: for each term which of them ask for it, at which weight."""
-
-    def __init__(self, part):
-        self.places = np.array(sorted({place for place, _, _ in part}), np.int64)
-        number = {place: i for i, place in enumerate(self.places.tolist())}
-        self.asking = defaultdict(list)
-        for place, term, weight in part:
-            if weight > 0:
-                self.asking[term].append((number[place], weight))
-
-    def of(self, words):
-        """``item, place in words, weight`` of all that ask for ``words``, ordered by item, and the
-        start of each item."""
-        found = [(item, at, weight) for at, word in enumerate(words)
-                 for item, weight in self.asking.get(word, ())]
-        found = np.array(found, np.int64).reshape(-1, 3)
-        item, at, weight = found[np.argsort(found[:, 0], kind="stable")].T
-        return item, at, weight, np.flatnonzero(np.r_[len(item) > 0, item[1:] != item[:-1]])
+    found = parts.select("terms", "sizes").mapInArrow(task, "term bigint, df bigint")
+    rows = found.groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(terms, np.int64)
+    df[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
+    return df
 
 
-class Part:
-    """A shard's part of a stratum as read from the table of matched postings."""
-
-    def __init__(self, m, postings):
-        self.m = m
-        words, tf = postings.field("term").to_pylist(), postings.field("tf").to_numpy()
-        value = postings.field("impact").to_numpy()
-        lists = postings.field("docs")
-        ends = lists.offsets.to_numpy()
-        ends, flat = ends - ends[0], lists.flatten()
-        head = words.index(b"")
-        self.ids = flat.slice(ends[head], ends[head + 1] - ends[head])
-        self.rows = [i for i in range(len(words)) if i != head]
-        self.words = [words[i] for i in self.rows]
-        self.impacts = value[self.rows]
-        numbers = flat.fill_null(0).to_numpy()
-        self.lists = [numbers[ends[i]:ends[i + 1]] for i in self.rows]
-        self.terms = list(dict.fromkeys(self.words))
-        place = {w: i for i, w in enumerate(self.terms)}
-        self.term_of = np.array([place[w] for w in self.words], np.int64)
-        self.best = np.zeros(len(self.terms), np.int64)
-        np.maximum.at(self.best, self.term_of, self.impacts)
-
-
-def scan(parts, shared, schema, visit):
-    """Run ``visit(items, extra, parts)`` on all parts of a task; what is ``shared`` is one part of
-    the items and at most ``SEED_DOCS`` strata and one score for each of them."""
+def term_weights(df, count):
+    return np.array([
+        math.floor(WEIGHT * math.log((2 * count + 2) / (2 * n + 1))) if n else 0 for n in df.tolist()])
 
-    def task(batches):
-        part, extra = shared.value
 
-        def found():
-            for batch in batches:
-                postings = batch.column("postings")
-                for i, m in enumerate(batch.column("m").to_pylist()):
-                    yield Part(m, postings[i].values)
+class Part:
+    """A part of a stratum, as a search sees it."""
+
+    def __init__(self, batch, i):
+        def values(name):
+            return batch.column(name)[i].values
+
+        self.m = batch.column("m")[i].as_py()
+        self.ids = values("ids")
+        self.terms, tf = values("terms").to_numpy().astype(np.int64), values("tf").to_numpy().astype(np.int64)
+        self.sizes = values("sizes").to_numpy().astype(np.int64)
+        self.docs = values("docs").to_numpy().astype(np.int64)
+        self.impacts = (IMPACT * tf // (FREQUENCY * tf + LENGTH * self.m)).astype(np.float64)
+        # Frequencies of a term rise, so its last row has the highest impact.
+        self.last = np.flatnonzero(np.r_[self.terms[1:] != self.terms[:-1], True])
+
+    def bounds(self, items):
+        """Per item the highest score a document here could have."""
+        row, pair = items.askers(self.terms[self.last])
+        return np.bincount(
+            items.item[pair], items.weight[pair] * self.impacts[self.last][row], len(items.places))
+
+    def matches(self, items):
+        """Per item how many documents have one of its terms, the commonest one here."""
+        row, pair = items.askers(self.terms)
+        found = np.zeros(len(items.places), np.int64)
+        np.maximum.at(found, items.item[pair], self.sizes[row])
+        return found
+
+    def scores(self, items, visiting):
+        """Scores of all documents for the ``visiting`` items, some of them at a time.
+
+        Sums of whole numbers below 2 ** 53 are exact in doubles.
+        """
+        row, pair = items.askers(self.terms)
+        place = np.full(len(items.places), -1)
+        place[visiting] = np.arange(len(visiting))
+        asked = place[items.item[pair]]
+        count, before = len(self.ids), np.cumsum(self.sizes) - self.sizes
+        step = max(1, SCORES_AT_ONCE // count)
+        for at in range(0, len(visiting), step):
+            some = visiting[at:at + step]
+            mine = np.flatnonzero((asked >= at) & (asked < at + step))
+            r, sizes = row[mine], self.sizes[row[mine]]
+            docs = self.docs[inside(sizes) + np.repeat(before[r], sizes)]
+            value = items.weight[pair[mine]] * self.impacts[r]
+            yield some, np.bincount(
+                np.repeat((asked[mine] - at) * count, sizes) + docs, np.repeat(value, sizes),
+                len(some) * count).reshape(len(some), count)
+
+
+def scan(parts, tasks, shared, schema, visit):
+    """Run ``visit(items, extra, parts)`` on all parts of a task; what is ``shared`` is one group of
+    items and at most ``SEED_DOCS`` strata and one score for each of them."""
 
-        yield from visit(Items(part), extra, found())
+    def task(batches):
+        group, weights, extra = shared.value
+        items = Items(group)
+        items.weigh(weights)
+        yield from visit(items, extra, (
+            Part(batch, i) for batch in batches for i in range(batch.num_rows)))
 
-    return parts.select("m", "postings").mapInArrow(task, schema)
+    # An explicit number: few rows with much work behind them are not to be joined into few tasks.
+    return parts.repartition(tasks).mapInArrow(task, schema)
 
 
-def bounds(items, extra, parts):
-    """Per item and stratum the highest score a document could have, and a number of documents that
-    have a term of it, over this task's parts."""
+def stratum_bounds(items, extra, parts):
+    """Per item and stratum the highest score a document could have, and its matches, over a task."""
     best = defaultdict(lambda: np.zeros((2, len(items.places)), np.int64))
     for part in parts:
-        item, at, weight, starts = items.of(part.terms)
-        if not len(item):
-            continue
-        held, who = best[part.m], item[starts]
-        held[0, who] = np.maximum(held[0, who], np.add.reduceat(weight * part.best[at], starts))
-        sizes = np.bincount(part.term_of, [len(d) for d in part.lists], len(part.terms))
-        held[1, who] += np.maximum.reduceat(sizes[at].astype(np.int64), starts)
+        held = best[part.m]
+        held[0] = np.maximum(held[0], part.bounds(items).astype(np.int64))
+        held[1] += part.matches(items)
     for m, (bound, matches) in best.items():
         who = np.flatnonzero(bound)
         yield pa.RecordBatch.from_arrays(
@@ -289,46 +374,39 @@ def bounds(items, extra, parts):
 
 
 def answers(items, extra, parts):
-    """Documents that reach their item's least score, at most ``TOP`` of each item and part.
+    """Documents that reach their item's least score, at most ``top`` of each item and part.
 
     In the first visit a part is visited by the items that have its stratum among their seeds, in
-    the second one by the others whose bound in this part reaches their score.
+    the second one by the others whose bound here reaches their score.  The score rises to that of
+    an item's ``top``-th best document of this task.
     """
     least, seeds, first, top = extra
-    nobody = np.zeros(len(items.places), bool)
+    least = least.astype(np.float64)
+    best = np.zeros((len(items.places), top))
     for part in parts:
-        seeded = nobody
-        if part.m in seeds:
-            seeded = nobody.copy()
-            seeded[seeds[part.m]] = True
+        seeded = np.zeros(len(items.places), bool)
+        seeded[seeds.get(part.m, [])] = True
         if first and not seeded.any():
             continue
-        item, at, weight, starts = items.of(part.terms)
-        if not len(item):
-            continue
-        bound = np.add.reduceat(weight * part.best[at], starts)
-        who = item[starts]
-        visits = (seeded[who] == first) & (bound >= least[who])
-        rows_of = [[] for _ in part.terms]
-        for row, term in enumerate(part.term_of.tolist()):
-            rows_of[term].append(row)
-        ends = np.r_[starts[1:], len(item)]
-        for k in np.flatnonzero(visits):
-            rows, values = [], []
-            for term, w in zip(at[starts[k]:ends[k]].tolist(), weight[starts[k]:ends[k]].tolist()):
-                rows += rows_of[term]
-                values += [w * int(part.impacts[r]) for r in rows_of[term]]
-            # Sums of whole numbers below 2 ** 53 are exact in doubles.
-            scores = np.bincount(
-                np.concatenate([part.lists[r] for r in rows]),
-                np.repeat(np.array(values, np.float64), [len(part.lists[r]) for r in rows]))
-            reach = np.flatnonzero(scores >= least[who[k]])
-            if len(reach) > top:
-                reach = reach[np.lexsort((reach, -scores[reach]))[:top]]
-            if len(reach):
+        visiting = np.flatnonzero((seeded == first) & (part.bounds(items) >= least))
+        for some, scores in part.scores(items, visiting):
+            found = []
+            for k in np.flatnonzero((scores >= least[some][:, None]).any(axis=1)).tolist():
+                item, own = some[k], scores[k]
+                reach = np.flatnonzero(own >= least[item])
+                if len(reach) > top:
+                    # Documents are numbered by doc_id.
+                    reach = reach[np.lexsort((reach, -own[reach]))[:top]]
+                found.append((item, reach, own[reach]))
+                merged = np.concatenate([best[item], own[reach]])
+                best[item] = -np.partition(-merged, top - 1)[:top]
+                least[item] = max(least[item], best[item].min())
+            if found:
+                docs = np.concatenate([f[1] for f in found])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(reach), items.places[who[k]])),
-                     part.ids.take(pa.array(reach)), pa.array(scores[reach].astype(np.int64))],
+                    [pa.array(np.repeat(items.places[[f[0] for f in found]], [len(f[1]) for f in found])),
+                     part.ids.take(pa.array(docs)),
+                     pa.array(np.concatenate([f[2] for f in found]).astype(np.int64))],
                     ["place", "doc_id", "score"])
 
 
@@ -338,12 +416,16 @@ def best(found, top):
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def search(parts, asked, top, scratch, label):
-    """``place, doc_id, score`` of at least all answers to one part of the items."""
-    spark = parts.sparkSession
-    items = Items(asked)
-    shared = spark.sparkContext.broadcast((asked, None))
-    limits = scan(parts, shared, "place bigint, m bigint, bound bigint, matches bigint", bounds)
+def search(index, group, count, top, scratch, label):
+    """``place, doc_id, score`` of at least all answers to one group of items."""
+    spark = index.sparkSession
+    context, items = spark.sparkContext, Items(group)
+    parts = scratch.save(matched_parts(index, items.terms), f"{label}-matched")
+    postings = parts.agg(F.sum(F.size("docs"))).first()[0] or 0
+    tasks = max(2 * context.defaultParallelism, postings // TASK_POSTINGS + 1)
+    weights = term_weights(document_counts(parts, len(items.terms)), count)
+    shared = context.broadcast((group, weights, None))
+    limits = scan(parts, tasks, shared, "place bigint, m bigint, bound bigint, matches bigint", stratum_bounds)
     limits = limits.groupBy("place", "m").agg(F.max("bound").alias("bound"), F.sum("matches").alias("matches"))
     before = Window.partitionBy("place").orderBy(F.desc("bound"), "m").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -354,13 +436,13 @@ def search(parts, asked, top, scratch, label):
         seeds[row["m"]].append(number[row["place"]])
     least = np.ones(len(number), np.int64)
     schema = "place bigint, doc_id bigint, score bigint"
-    shared = spark.sparkContext.broadcast((asked, (least, dict(seeds), True, top)))
-    first = scratch.save(scan(parts, shared, schema, answers), f"{label}-seeds")
+    shared = context.broadcast((group, weights, (least, dict(seeds), True, top)))
+    first = scratch.save(scan(parts, tasks, shared, schema, answers), f"{label}-seeds")
     reached = best(first, top).groupBy("place").agg(F.count("*").alias("n"), F.min("score").alias("score"))
     for row in reached.where(F.col("n") >= top).collect():
         least[number[row["place"]]] = row["score"]
-    shared = spark.sparkContext.broadcast((asked, (least, dict(seeds), False, top)))
-    rest = scratch.save(scan(parts, shared, schema, answers), f"{label}-rest")
+    shared = context.broadcast((group, weights, (least, dict(seeds), False, top)))
+    rest = scratch.save(scan(parts, tasks, shared, schema, answers), f"{label}-rest")
     return first.unionByName(rest)
 
 
@@ -378,23 +460,9 @@ def ranked(docs, items, top=TOP):
         return empty
     index = scratch.save(build_index(docs, count, total), "index")
     asked = scratch.save(item_terms(items), "asked")
-    wanted = asked.select("term").distinct().unionByName(
-        spark.range(1).select(F.lit(b"").alias("term")))
-    wanted = scratch.save(wanted, "terms")
-    longest = wanted.agg(F.max(F.length("term"))).first()[0]
-    side = F.broadcast(wanted) if is_small(wanted, longest + 32) else wanted
-    matched = scratch.save(
-        index.join(side, "term").withColumn("impact", impact(F.col("tf"), F.col("m"))), "matched")
-    postings = matched.agg(F.sum(F.size("docs"))).first()[0] or 0
-    tasks = max(2 * spark.sparkContext.defaultParallelism, postings // PART_POSTINGS + 1)
-    parts = matched.repartition(tasks, "shard", "m").groupBy("shard", "m").agg(
-        F.collect_list(F.struct("term", "tf", "impact", "docs")).alias("postings"))
-    parts = scratch.save(parts.where(F.size("postings") > 1), "parts")
-    known = scratch.save(weights(matched, count), "weights")
-    asked = scratch.save(asked.join(known, "term"), "weighted")
     found = None
-    for at, part in enumerate(item_parts(asked)):
-        more = search(parts, part, top, scratch, f"answers-{at}")
+    for at, group in enumerate(item_groups(asked)):
+        more = search(index, group, count, top, scratch, f"answers-{at}")
         found = more if found is None else found.unionByName(more)
     if found is None:
         return empty
