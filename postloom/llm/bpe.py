@@ -6,22 +6,25 @@ number, which leads to its ids.  The automaton is a file that every worker memor
 of a text walk it together, one byte per step; a word it does not hold is merged exactly.
 """
 
+import hashlib
 import heapq
 import json
 import os
 import re
-import tempfile
 import unicodedata
 from collections import Counter
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from postloom.session import work_dir
+
 LEXICON_WORDS = 150_000
 CACHE_WORDS = 100_000
 COUNTED_WORDS = 150_000
@@ -57,13 +60,15 @@ class Vocabulary:
             split.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("|".join(map(regex.escape, self.special)))
+        # What all special tokens begin with; a text without it has none of them.
+        self.hint = os.path.commonprefix(list(self.special))
         self.letters = byte_letters()
         tokens = {**{i: t for t, i in self.ids.items()}, **{i: t for t, i in self.special.items()}}
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
 
     def pieces(self, text):
         """The words of a text in order; special tokens come as their ids."""
-        if "<|" not in text:
+        if not self.special or self.hint not in text:
             return self.plain_words(text)
         found, at = [], 0
         for mark in self.marks.finditer(text):
@@ -119,8 +124,8 @@ def vocabulary(path):
     return Vocabulary(path)
 
 
-def compile_lexicon(entries, path):
-    """Write the minimal acyclic transducer of ``entries (word, ids)`` to ``path``.
+def compile_lexicon(entries, file):
+    """Write the minimal acyclic transducer of ``entries (word, ids)`` to a binary file.
 
     Words are added in byte order; a state whose continuation is finished is replaced by an equal
     one seen before.  An arc's number is how many words come before it at its state, so the
@@ -169,7 +174,7 @@ def compile_lexicon(entries, path):
     flat = np.array([i for _, ids in entries for i in ids], np.int32)
     parts = [classes.astype(np.int32), ends.astype(np.int32), flat, final, step.reshape(-1)]
     head = np.array([len(p) for p in parts] + [len(used) + 1], np.int32)
-    np.concatenate([head, *parts]).tofile(path)
+    file.write(np.concatenate([head, *parts]).tobytes())
     return len(states)
 
 
@@ -249,16 +254,20 @@ def count_words(docs, tokenizer):
 def build_lexicon(docs, tokenizer, words=LEXICON_WORDS):
     """Compile the ``words`` most frequent words of ``docs`` and ship the file to the workers.
 
-    Returns the name under which workers find it.
+    The file lies in the folder that all executors share.  Returns the name under which workers
+    find their copy of it.
     """
     spark = docs.sparkSession
     top = count_words(docs, tokenizer).orderBy(F.desc("n"), "word").limit(words).toArrow()
     vocab = vocabulary(tokenizer)
-    handle, path = tempfile.mkstemp(prefix="lexicon-", suffix=".bin")
-    os.close(handle)
-    compile_lexicon([(w, vocab.merge(w)) for w in top.column("word").to_pylist()], path)
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+    folder = work_dir(spark, "lexicon")
+    name = f"lexicon-{os.path.basename(folder)}.bin"
+    files, place = pyarrow.fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+    files.create_dir(place)
+    with files.open_output_stream(f"{place}/{name}") as file:
+        compile_lexicon([(w, vocab.merge(w)) for w in top.column("word").to_pylist()], file)
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return name
 
 
 class Encoder:
@@ -278,6 +287,22 @@ class Encoder:
             self.cache[word] = ids
         return ids
 
+    def ids_of(self, words):
+        """The ids of each of some distinct words."""
+        plain = [w for w in words if type(w) is str]
+        data = " ".join(plain).encode()
+        ends = np.cumsum([len(w.encode()) + 1 for w in plain], dtype=np.int64)
+        starts = np.concatenate(([0], ends[:-1])) if plain else ends
+        number = self.words.lookup(np.frombuffer(data, np.uint8), starts, ends - 1 - starts)
+        for word, at in zip(plain, number.tolist()):
+            if at < 0:
+                yield word, self.merge(word)
+            else:
+                yield word, self.words.flat[self.words.ends[at]:self.words.ends[at + 1]].tolist()
+        for word in words:
+            if type(word) is int:
+                yield word, [word]
+
     def encode(self, texts):
         """Flat ids and the end of each text in them."""
         pieces, counts = [], []
@@ -347,12 +372,49 @@ def decode(rows, tokenizer, ids="ids", text="decoded"):
     return rows.mapInArrow(task, StructType([*rows.schema.fields, StructField(text, StringType())]))
 
 
+def written_words(encoder, words):
+    """For each distinct word its ids in decimals, and their tokens, both joined by a space."""
+    tokens = encoder.vocab.tokens
+    for word, ids in encoder.ids_of(words):
+        yield word, " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
+
+
 def digests(docs, tokenizer, words=LEXICON_WORDS):
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row of ``docs (doc_id, text)``."""
-    coded = encode(docs.select("doc_id", "text"), tokenizer, words).select("doc_id", "ids")
-    read = decode(coded, tokenizer)
-    return read.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row of ``docs (doc_id, text)``.
+
+    A null text is empty, an empty one has no tokens; repeated rows are rows of their own.  Texts are
+    encoded, decoded and hashed in one pass: the distinct words of some texts are looked up once, and
+    the ids and tokens of a text are those of its words.
+    """
+    name = build_lexicon(docs, tokenizer, words)
+
+    def task(batches):
+        vocab = vocabulary(tokenizer)
+        encoder = Encoder(vocab, lexicon(SparkFiles.get(name)))
+        decimals, decoded, silent = {}, {}, set()
+        for part in slices(batches):
+            pieces = [vocab.pieces(t) if t else [] for t in part.column("text").to_pylist()]
+            if len(decimals) > CACHE_WORDS:
+                decimals, decoded, silent = {}, {}, set()
+            unseen = set().union(*pieces).difference(decimals)
+            for word, ids, text in written_words(encoder, list(unseen)):
+                decimals[word], decoded[word] = ids, text
+                if not ids:
+                    silent.add(word)
+            counts, hashes, back = [], [], []
+            for own in pieces:
+                if silent:
+                    own = [w for w in own if w not in silent]
+                ids = " ".join([decimals[w] for w in own])
+                counts.append(ids.count(" ") + 1 if ids else 0)
+                hashes.append(hashlib.sha256(ids.encode()).hexdigest())
+                text = " ".join([decoded[w] for w in own])
+                back.append(hashlib.sha256(text.encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()),
+                 pa.array(back, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        task, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -140,10 +140,30 @@ def test_encoding_equals_the_library(odd):
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_digests_of_all_documents_equal_the_library(spark, odd, folder):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer())
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").unionByName(
+        odd.select("doc_id", "text")).unionByName(spark.createDataFrame(
+            [(-1, "<|endoftext|>a <|x <|startoftext|> b"), (-2, " \n "), (-3, "\u0000a\x1f b́ ﬁ Σς")],
+            "doc_id bigint, text string"))
+    rows = bpe.digests(docs, tokenizer(), words=500)
+    wanted = []
+    for doc, text in docs.collect():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        wanted.append((doc, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                       hashlib.sha256(back.encode()).hexdigest()))
+    assert Counter(tuple(r) for r in rows.collect()) == Counter(wanted)
+    assert bpe.digests(docs.limit(0), tokenizer()).count() == 0
+
+
 def test_transducer_numbers_words_in_order(tmp_path):
     words = ["a", "ab", "abc", "b", "bc", "zebra", "é", "éa"]
     path = str(tmp_path / "lexicon")
-    states = bpe.compile_lexicon([(w, [i]) for i, w in enumerate(words)], path)
+    with open(path, "wb") as file:
+        states = bpe.compile_lexicon([(w, [i]) for i, w in enumerate(words)], file)
     assert states < sum(map(len, words))
     asked = ["abc", "abcd", "é", "zebr", "b", "q"]
     data = np.frombuffer("".join(asked).encode(), np.uint8)
