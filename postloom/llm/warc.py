@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm.scratch import Scratch, is_small
 
+TASKS_PER_CORE = 32
 RANGE_BYTES = 8 << 20
 LEAST_SHARED = 100
 MAGIC = b"\x1f\x8b\x08"
@@ -178,7 +179,9 @@ def read_archives(archives, folder, range_bytes=RANGE_BYTES):
     """
     starts = F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes))
     ranges = archives.select("archive", "bytes", F.explode(starts).alias("start"))
-    ranges = ranges.repartition("archive", "start")
+    # An explicit number of tasks: the rows are few and short, and would be joined into one.
+    cores = archives.sparkSession.sparkContext.defaultParallelism
+    ranges = ranges.repartition(max(1, min(ranges.count(), TASKS_PER_CORE * cores)))
 
     def task(batches):
         files, _ = pyarrow.fs.FileSystem.from_uri(folder)
