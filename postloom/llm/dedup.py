@@ -87,35 +87,32 @@ def state_of(feed, scratch, files_per_batch=FILES_PER_BATCH):
     return last.select("digest", "last.keep", "last.group_size")
 
 
-def split_clashes(docs, feed, hits, digest_chars, scratch):
+def split_clashes(rows, hits, digest_chars, scratch):
     """The feed with digests that different texts share made distinct, or None without any.
 
-    Compares the full texts of all hits.  Equal texts meet as one row per input task, so large
-    groups of copies move little.
+    Compares the full texts of all hits of ``rows (doc_id, text, locator)``.  Equal texts meet as one
+    row per input task, so large groups of copies move little.  The rows of a clash, if there is
+    one, are told apart by their content itself.
     """
     hits = F.broadcast(hits) if is_small(hits, 2 * digest_chars) else hits
-    read = with_digest(docs.select("doc_id", "text"))
-    read = read.withColumn("digest", F.substring("text_sha256", 1, digest_chars))
-    texts = read.join(hits, "digest", "left_semi").select(
-        "digest", "text_sha256", normalised().alias("content")
-    )
-    contents = texts.distinct()
+    read = with_digest(rows).withColumn("digest", F.substring("text_sha256", 1, digest_chars))
+    contents = read.join(hits, "digest", "left_semi").select(
+        "digest", normalised().alias("content")).distinct()
     clashing = scratch.save(
         contents.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"),
         "clashing",
     )
     if clashing.isEmpty():
         return None
-    variants = (
-        contents.join(clashing, "digest", "left_semi")
-        .withColumn("variant", F.row_number().over(Window.partitionBy("digest").orderBy("content")))
-        .select("digest", "text_sha256", "variant")
-    )
-    parted = feed.join(variants, ["digest", "text_sha256"], "left")
-    return parted.select(
-        "doc_id", "row", "locator", "text_sha256",
-        F.concat_ws("-", "digest", F.col("variant").cast("string")).alias("digest"),
-    )
+    order = Window.partitionBy("digest").orderBy("content")
+    variants = contents.join(clashing, "digest", "left_semi").withColumn(
+        "variant", F.row_number().over(order))
+    short = ["doc_id", "locator", "text_sha256", "digest"]
+    plain = read.join(clashing, "digest", "left_anti").select(*short)
+    told = read.join(clashing, "digest", "left_semi").withColumn("content", normalised()).join(
+        variants, ["digest", "content"])
+    told = told.withColumn("digest", F.concat_ws("-", "digest", F.col("variant").cast("string")))
+    return plain.unionByName(told.select(*short)).withColumn("row", F.monotonically_increasing_id())
 
 
 def exact_dedup(docs, digest_chars=DIGEST_CHARS, files_per_batch=FILES_PER_BATCH):
@@ -127,9 +124,9 @@ def exact_dedup(docs, digest_chars=DIGEST_CHARS, files_per_batch=FILES_PER_BATCH
     ``digest_chars`` below 64 makes clashing digests, for tests.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    feed = with_digest(docs.select("doc_id", "text", F.input_file_name().alias("locator")))
+    rows = docs.select("doc_id", "text", F.input_file_name().alias("locator"))
     feed = scratch.save(
-        feed.select(
+        with_digest(rows).select(
             "doc_id", F.monotonically_increasing_id().alias("row"), "locator", "text_sha256",
             F.substring("text_sha256", 1, digest_chars).alias("digest"),
         ),
@@ -137,7 +134,7 @@ def exact_dedup(docs, digest_chars=DIGEST_CHARS, files_per_batch=FILES_PER_BATCH
     )
     state = scratch.save(state_of(feed, scratch, files_per_batch), "groups")
     hits = scratch.save(state.where("group_size > 1").select("digest"), "hits")
-    parted = split_clashes(docs, feed, hits, digest_chars, scratch)
+    parted = split_clashes(rows, hits, digest_chars, scratch)
     if parted is not None:
         feed = scratch.save(parted, "parted")
         groups = feed.groupBy("digest").agg(
