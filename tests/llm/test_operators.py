@@ -54,6 +54,32 @@ def test_exact_dedup_compares_bytes_of_clashing_digests_over_several_batches(odd
         assert r.group_size == sizes[text]
 
 
+def test_exact_dedup_parts_texts_of_one_whole_digest_by_content(spark, odd, monkeypatch):
+    rows = [(1, "x"), (2, "y"), (3, "X"), (3, "y"), (4, "other"), (5, "OTHER"), (6, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    real = dedup.with_digest
+
+    def clashing(rows, name="text_sha256", text="text"):
+        short = F.lower(F.coalesce(text, F.lit(""))).isin("x", "y")
+        return real(rows, name, text).withColumn(name, F.when(short, "same").otherwise(F.col(name)))
+
+    monkeypatch.setattr(dedup, "with_digest", clashing)
+    found = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in dedup.exact_dedup(frame).collect())
+    assert found == Counter([(1, 3, 2, False), (3, 3, 2, True), (2, 3, 2, False), (3, 3, 2, True),
+                             (4, 5, 2, False), (5, 5, 2, True), (6, 6, 1, True)])
+
+
+def test_operators_on_empty_tables(spark, odd):
+    docs = odd.limit(0)
+    assert dedup.exact_dedup(docs).count() == 0
+    assert jaccard.near_duplicates(docs).count() == 0
+    assert licenses.scan(docs).count() == 0
+    turns = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.digests(turns).count() == 0
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert warc.roundtrip(pages).count() == 0
+
+
 def linked(rows):
     sets = {}
     for i, text in rows:
@@ -206,6 +232,24 @@ def test_warc_ranges_of_any_size(spark, odd):
         assert {found[i].record_type for i in (0, 2, 3, 4, 5, 6)} == {"response"}
 
 
+def test_warc_ranges_are_read_by_many_tasks(spark, odd):
+    pages = spark.range(400).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"),
+        F.concat_ws(" ", *[F.md5(F.concat("id", F.lit(k))) for k in range(20)]).alias("html")).coalesce(2)
+    scratch = warc.Scratch(spark, "many")
+    folder = f"file://{scratch.path('archives')}"
+    archives = scratch.save(warc.write_archives(warc.plan_revisits(pages, 100), folder), "manifest")
+    read = warc.read_archives(archives, folder, 4_000).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in read) == 400 and len(read) >= 8
+
+
+def test_warc_of_null_and_repeated_page_ids(spark, odd):
+    rows = [(1, "u", "a" * 200), (1, "u", "a" * 200), (None, "u", "b" * 200), (2, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = Counter((r.page_id, r.payload_bytes) for r in warc.roundtrip(pages).collect())
+    assert found == Counter([(1, 200), (1, 200), (None, 200), (2, 0)])
+
+
 def test_warc_reader_passes_over_magic_inside_members():
     members = [warc.record_member(i, "u", "a", 1, hashlib.sha256(b"a").hexdigest(), None)
                for i in range(3)]
