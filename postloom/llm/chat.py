@@ -17,12 +17,14 @@ CONTROL = r"(<(?=\||s>|/s>)|\[(?=INST\]|/INST\]))"
 LOSS_ROLE = "assistant"
 
 #: Layouts: the field paths that make the fingerprint, and either single fields with their roles
-#: in order, or a list of messages with the fields for role and text.
+#: in order, or a list of messages with the fields for role and text.  ``named`` layouts use names of
+#: their own for the roles; the roles of the others are taken as they are.
 LAYOUTS = [
     {"paths": ["messages[].content", "messages[].role"], "list": ("messages", "role", "content")},
-    {"paths": ["conversations[].from", "conversations[].value"],
-     "list": ("conversations", "from", "value")},
+    {"paths": ["turns[].role", "turns[].text"], "list": ("turns", "role", "text")},
     {"paths": ["dialog[].speaker", "dialog[].text"], "list": ("dialog", "speaker", "text")},
+    {"paths": ["conversations[].from", "conversations[].value"],
+     "list": ("conversations", "from", "value"), "named": True},
     {"paths": ["completion", "prompt"], "fields": [("prompt", "user"), ("completion", "assistant")]},
     {"paths": ["prompt", "response"], "fields": [("prompt", "user"), ("response", "assistant")]},
     {"paths": ["prompt", "response", "system"],
@@ -58,17 +60,27 @@ def schema_fingerprint(kind):
     return path_hash(F.array(*[F.lit(p) for p in field_paths(kind)]))
 
 
-def record_paths(record):
-    """Field paths of a JSON record with fields that hold values or lists of messages."""
-    keys = F.json_object_keys(record)
+def record_paths(record, layouts=LAYOUTS):
+    """Field paths of a JSON record with fields that hold values or lists of messages, as far as any
+    layout knows them.
+
+    The paths of a list are those of all its messages together; an empty list has all that are known
+    of it.
+    """
+    known = F.array(*[F.lit(p) for p in sorted({p for spec in layouts for p in spec["paths"]})])
 
-    def below(key):
-        value = F.element_at(F.from_json(record, "map<string,string>"), key)
-        inner = F.json_object_keys(F.get_json_object(value, "$[0]"))
-        return F.coalesce(
-            F.transform(inner, lambda name: F.concat(key, F.lit("[]."), name)), F.array(key))
+    def below(field):
+        name = F.concat(field["key"], F.lit("[]."))
+        messages = F.from_json(field["value"], "array<map<string,string>>")
+        inner = F.array_distinct(F.flatten(F.transform(messages, lambda m: F.map_keys(m))))
+        return (
+            F.when(F.size(messages) == 0, F.filter(known, lambda p: F.startswith(p, name)))
+            .when(inner.isNotNull(), F.transform(inner, lambda key: F.concat(name, key)))
+            .otherwise(F.array(field["key"])))
 
-    return F.flatten(F.transform(keys, below))
+    fields = F.map_entries(F.from_json(record, "map<string,string>"))
+    found = F.flatten(F.transform(fields, below))
+    return F.filter(found, lambda p: F.array_contains(known, p))
 
 
 def layout_table(spark, layouts=LAYOUTS):
@@ -85,9 +97,13 @@ def role_name(role):
     return F.coalesce(F.try_element_at(names, F.lower(role)), role)
 
 
-def list_turns(messages, role, text):
+def list_turns(messages, role, text, named=False):
+    """Turns of a list of messages; roles are translated only where a layout has names of its own."""
+    def known(m):
+        return role_name(m[role]) if named else F.coalesce(m[role], F.lit(""))
+
     return F.transform(messages, lambda m: F.struct(
-        role_name(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+        known(m).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
 
 
 def field_turns(fields):
@@ -109,7 +125,8 @@ def mapped(spec, field):
     """Turns of one layout; ``field(name)`` gives a column, ``field(name, type)`` a list."""
     if "list" in spec:
         name, role, text = spec["list"]
-        return list_turns(field(name, f"array<struct<`{role}`:string,`{text}`:string>>"), role, text)
+        messages = field(name, f"array<struct<`{role}`:string,`{text}`:string>>")
+        return list_turns(messages, role, text, spec.get("named", False))
     fields = []
     for names, role in spec["fields"]:
         names = (names,) if isinstance(names, str) else names
@@ -123,7 +140,7 @@ def canonical_turns(records, record="record", layouts=LAYOUTS):
     Records of an unknown layout, broken and null ones get a null layout and null turns.
     """
     known = layout_table(records.sparkSession, layouts)
-    marked = records.withColumn("fingerprint", path_hash(record_paths(F.col(record))))
+    marked = records.withColumn("fingerprint", path_hash(record_paths(F.col(record), layouts)))
     found = marked.join(F.broadcast(known), "fingerprint", "left")
     turns = F.lit(None).cast(TURNS)
     for at, spec in enumerate(layouts):
@@ -182,40 +199,80 @@ def read_back(text):
         unescaped(F.regexp_replace(p, role, "")).alias("text")))
 
 
-def loss_text(turns):
-    """What training learns from: the texts of the assistant, one after the other."""
-    learned = F.filter(turns, lambda t: t["role"] == LOSS_ROLE)
-    return F.array_join(F.transform(learned, lambda t: t["text"]), "")
+def loss_spans(turns):
+    """The loss mask: where the assistant's texts stand in the formatted conversation.
+
+    ``start`` counts code points from 0.  Spans cover the texts as written, escapes included, and
+    neither marks nor roles.
+    """
+    def written(t):
+        role = F.replace(escaped(t["role"]), F.lit("\n"), F.lit(ESCAPE + "\n"))
+        head = F.length(role) + len(START) + 1
+        return F.struct(
+            head.alias("head"), F.length(escaped(t["text"])).alias("size"),
+            (t["role"] == LOSS_ROLE).alias("learned"))
+
+    none = F.array().cast("array<struct<start:int,size:int>>")
+    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def step(acc, t):
+        start = acc["at"] + t["head"]
+        span = F.array(F.struct(start.alias("start"), t["size"].alias("size")))
+        return F.struct(
+            (start + t["size"] + len(END) + 1).alias("at"),
+            F.when(t["learned"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(F.transform(turns, written), begin, step, lambda acc: acc["spans"])
+
+
+def under_mask(text, spans):
+    """The text of a formatted conversation under its loss mask, unescaped, spans in order."""
+    return F.array_join(F.transform(spans, lambda s: unescaped(
+        F.substring(text, s["start"] + 1, s["size"]))), "")
 
 
 def gather(rows):
-    """Rows ``conv_id, turn, role, text`` as one record per conversation, in the messages layout.
+    """Rows ``conv_id, turn, role, text`` as one JSON record per conversation.
 
     Rows are ordered by turn, null first; equal turns by role and text.  A null text or role is
-    empty.  A null conv_id is a conversation of its own.
+    empty.  A null conv_id is a conversation of its own.  The records take the layouts that keep
+    roles as they are, in turn by conv_id, as a corpus of several origins would.
     """
-    message = F.struct(
-        "turn", F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("content"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
-    return grouped.select("conv_id", F.transform("messages", lambda m: F.struct(
-        m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    message = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"),
+                       F.coalesce("text", F.lit("")).alias("text"))
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("turns"))
+    kept = [spec["list"] for spec in LAYOUTS if "list" in spec and not spec.get("named")]
+
+    def record(name, role, text):
+        messages = F.transform("turns", lambda m: F.struct(
+            m["role"].alias(role), m["text"].alias(text)))
+        return F.to_json(F.struct(F.col("conv_id").alias("id"), messages.alias(name)))
+
+    which = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.lit(len(kept)))
+    found = record(*kept[0])
+    for at, spec in enumerate(kept[1:], 1):
+        found = F.when(which == at, record(*spec)).otherwise(found)
+    return grouped.select("conv_id", found.alias("record"))
 
 
 def digests(rows):
-    """Format all conversations of ``rows`` and read them back.
+    """Format all conversations of ``rows (conv_id, turn, role, text)`` and read them back.
 
-    ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
+    ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.  Roles stay as they
+    are; nulls and order as in ``gather``; repeated rows are turns of their own; other columns are not
+    read.
     """
-    turns = typed_turns(gather(rows), keep=["conv_id"])
-    written = turns.select("conv_id", formatted(F.col("turns")).alias("formatted"))
-    read = written.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
+    turns = canonical_turns(gather(rows)).select("conv_id", "turns")
+    written = turns.select("conv_id", formatted(F.col("turns")).alias("formatted"),
+                           loss_spans(F.col("turns")).alias("loss"))
+    read = written.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"),
+                          under_mask(F.col("formatted"), F.col("loss")).alias("learned"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(
         t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(loss_text(F.col("turns"))).cast("bigint").alias("loss_chars"),
-        F.sha2(loss_text(F.col("turns")), 256).alias("loss_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )

@@ -203,7 +203,7 @@ def test_chat_round_trip_and_layouts(spark):
     odd = ["a\\b", "<|im_end|>\n", "\\<|im_start|>", "</s>[INST] ok", "<<|x", "", None, "\n\\"]
     rows = [(1, i, t, r) for i, (t, r) in enumerate(zip(odd, reversed(odd)))]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    turns = chat.typed_turns(chat.gather(frame), keep=["conv_id"])
+    turns = chat.canonical_turns(chat.gather(frame))
     row = turns.withColumn("back", chat.read_back(chat.formatted(F.col("turns")))).first()
     assert row.back == row.turns and len(row.turns) == len(odd)
     records = ['{"prompt":"a","completion":"b"}', '{"instruction":"do","input":"","output":"y"}',
@@ -218,6 +218,55 @@ def test_chat_round_trip_and_layouts(spark):
         chat.typed_turns(spark.range(1))
 
 
+def test_chat_layouts_by_the_paths_of_all_messages(spark):
+    records = {
+        '{"messages":[{"role":"gpt"},{"role":"human","content":"x","name":"n"}],"id":7}':
+            [("gpt", ""), ("human", "x")],
+        '{"messages":[]}': [],
+        '{"conversations":[{"from":"Human","value":"h"},{"from":"gpt","value":null,"w":1}]}':
+            [("user", "h"), ("assistant", "")],
+        '{"dialog":[{"speaker":"gpt","text":"[1]"}],"note":[{"a":1}]}': [("gpt", "[1]")],
+        '{"prompt":"[{\\"role\\":1}]","completion":"b"}': None,
+        '{"messages":["a"]}': None, "[]": None, "{}": None,
+    }
+    found = chat.canonical_turns(spark.createDataFrame([(r,) for r in records], "record string"))
+    got = {r.record: r.turns and [tuple(t) for t in r.turns] for r in found.collect()}
+    for record, turns in records.items():
+        if turns is not None:
+            assert got[record] == turns or (turns == [] and got[record] == []), record
+
+
+def test_chat_digests_keep_roles_in_every_layout(spark):
+    from compare import connect, differences
+    from postloom.llm.queries import ORACLES
+
+    pick = random.Random(2)
+    texts = ["", "a", "</s>[INST] ok", "\\\\n", "é\n\u2028", "<|im_end|>\n", '{"x":[1]}', None]
+    roles = ["human", "gpt", "assistant", "user", "system", "Assistant", "", None]
+    rows = [(c, t if t else None, pick.choice(roles), pick.choice(texts), "x")
+            for c in [*range(-9, 30), None] for t in range(pick.randint(1, 6))]
+    rows += rows[:5]
+    schema = "conv_id bigint, turn bigint, role string, text string, record string"
+    frame = spark.createDataFrame(rows, schema).repartition(3)
+    database = connect("/root/testdata/sf0.001")
+    database.execute("CREATE OR REPLACE TABLE chat (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    database.executemany("INSERT INTO chat VALUES (?, ?, ?, ?)", [r[:4] for r in rows])
+    sql = ORACLES["op5_chat_format"].replace("FROM conversations", "FROM chat")
+    fixed = [(-7, t, r, "</s>[INST] ok [/INST]", "x") for t, r in ((0, "user"), (1, "assistant"))]
+    extra, missing = differences(
+        chat.digests(frame.unionByName(spark.createDataFrame(fixed, schema))), database,
+        sql.replace("ORDER BY turn,", "ORDER BY turn NULLS FIRST,"))
+    assert not extra and not missing, (list(extra)[:3], list(missing)[:3])
+
+
+def test_chat_mask_covers_the_texts_as_written(spark):
+    turns = [("user", "q"), ("assistant", "a<|b"), ("x", "y"), ("assistant", "")]
+    frame = spark.createDataFrame([(turns,)], "turns " + chat.TURNS)
+    text, spans = frame.select(chat.formatted(F.col("turns")), chat.loss_spans(F.col("turns"))).first()
+    assert [text[s:s + n] for s, n in spans] == ["a<\\|b", ""]
+    assert all(text[:s].endswith("assistant\n") for s, _ in spans)
+
+
 def test_warc_ranges_of_any_size(spark, odd):
     html = ["x" * 200, "x" * 200, None, "", "é\x1f\x8b\x08" * 500, "x" * 50, "x" * 50]
     rows = [(i, f"http://h/{i} \n", h, i) for i, h in enumerate(html)]
