@@ -27,7 +27,7 @@ from postloom.llm.scratch import Scratch
 
 TOP = 20
 SEED_DOCS = 200
-SHARD_POSTINGS = 1_500_000
+SHARD_POSTINGS = 800_000
 BATCH_POSTINGS = 100_000
 TASK_POSTINGS = 1_000_000
 SCORES_AT_ONCE = 4_000_000
