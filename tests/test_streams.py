@@ -127,10 +127,11 @@ def test_partitioned_table_prunes(spark, recording):
     assert plan.count() > 0
 
 
-def test_live_job(spark, recording):
+def test_separate_queries(spark, recording):
     output, checkpoints = work_dir(spark, "live"), work_dir(spark, "live-checkpoints")
     parsed = stream(spark, recording)
-    with live.start_live(parsed, output, checkpoints, console=False, bounded=True) as running:
+    options = dict(console=False, memory=True, bounded=True)
+    with live.start_queries(parsed, output, checkpoints, **options) as running:
         running.finish()
         assert len(running.queries) == 6 and not running.failures()
         names = {query.name for query in running.queries}
@@ -141,6 +142,8 @@ def test_live_job(spark, recording):
     for make in (reports.latency_grades, reports.partition_distribution):
         assert reports.report(spark, make).count() == 10
     assert reports.report(spark, reports.top_languages, limit=2).count() == 2
+    for name in names:
+        spark.catalog.dropTempView(name)
 
 
 def test_console_sink(spark, recording):
