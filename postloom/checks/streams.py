@@ -248,6 +248,14 @@ def live_language_totals(spark, folder):
     return compared(merged, exact, ["language"], ["total_unique_users"])
 
 
+@query("live_top_languages", FIREHOSE_SQL + f"""
+SELECT language, count(*) AS total_posts FROM post_languages GROUP BY language
+ORDER BY total_posts DESC, language LIMIT {V.TOP_LANGUAGES}""")
+def live_top_languages(spark, folder):
+    """The commonest languages from the one sketch that the live job carries along."""
+    return run_live(spark, folder).top_languages(spark)
+
+
 @query("dead_letters", FIREHOSE_SQL + DEAD_SQL + """
 SELECT "partition", "offset", fault FROM dead""")
 def dead_letters(spark, folder):

@@ -143,12 +143,50 @@ def repair_vectors(spark, folder):
     return by_component(repaired, "doc_id", "embedding", 5)
 
 
-@query("reduce_dims")
+def covariance_checks(reduced, dims):
+    """``one, two, uncorrelated, falling``: for each pair of components whether their covariance is
+    nothing beside the first variance, and whether variances fall from one to the next."""
+    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
+    value = [F.col("reduced")[i].cast("double") for i in range(dims)]
+    sums = reduced.agg(*[F.covar_samp(value[i], value[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    first = F.col("c0_0")
+    rows = [
+        F.struct(
+            F.lit(i).cast("bigint").alias("one"), F.lit(j).cast("bigint").alias("two"),
+            (F.lit(i == j) | (F.abs(F.col(f"c{i}_{j}")) <= first * 1e-4)).alias("uncorrelated"),
+            (F.lit(i == 0) | (F.col(f"c{i}_{i}") <= F.col(f"c{max(i - 1, 0)}_{max(i - 1, 0)}") * (1 + 1e-6))
+             ).alias("falling"))
+        for i, j in pairs
+    ]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+@query("reduce_dims", """
+SELECT a.i AS one, b.i AS two, TRUE AS uncorrelated, TRUE AS falling
+FROM range(16) AS a(i) JOIN range(16) AS b(i) ON b.i >= a.i""")
 def reduce_dims(spark, folder):
+    """The components are principal: uncorrelated, and of falling variance."""
     unit = embeddings(spark, folder).select(
         "vec_id", V.normalize(F.col("embedding")).alias("embedding")
     )
-    return vectors.reduce_dims(unit, dims=16).select("vec_id", "reduced")
+    return covariance_checks(vectors.reduce_dims(unit, dims=16), 16)
+
+
+@query("kept_variance", COMPONENTS_SQL + """
+SELECT count(*) AS n, TRUE AS most FROM (
+    SELECT pos, var_samp(x) AS v FROM parts GROUP BY pos)""")
+def kept_variance(spark, folder):
+    """Sixteen principal components keep no less variance than the best sixteen plain ones."""
+    rows = embeddings(spark, folder).select("vec_id", "embedding")
+    width = rows.select(F.max(F.size("embedding"))).first()[0]
+    plain = rows.agg(*[F.var_samp(F.col("embedding")[i].cast("double")).alias(f"v{i}") for i in range(width)])
+    best = F.aggregate(F.slice(F.sort_array(F.array(*[F.col(f"v{i}") for i in range(width)]), False), 1, 16),
+                       F.lit(0.0), lambda total, v: total + v)
+    turned = vectors.reduce_dims(rows, dims=16)
+    own = turned.agg(*[F.var_samp(F.col("reduced")[i].cast("double")).alias(f"r{i}") for i in range(16)])
+    kept = sum((F.col(f"r{i}") for i in range(1, 16)), F.col("r0"))
+    least = plain.select(best).scalar()
+    return own.select(F.lit(width).cast("bigint").alias("n"), (kept >= least * (1 - 1e-6)).alias("most"))
 
 
 @query("reduced_norms", COMPONENTS_SQL + """

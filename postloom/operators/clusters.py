@@ -16,11 +16,16 @@ from postloom.operators.vectors import reduce_dims
 from postloom.session import write_and_read
 
 
-def kmeans_clusters(rows, k, id="post_id", vector="embedding", seed=V.REDUCE_SEED):
-    """``id, cluster`` by k-means, a quick second opinion without noise."""
+def kmeans_model(rows, k, id="post_id", vector="embedding", seed=V.REDUCE_SEED):
+    """The fitted k-means model, and ``id, cluster`` by it."""
     points = rows.select(id, array_to_vector(vector).alias("_vector"))
     model = KMeans(k=k, seed=seed, featuresCol="_vector", predictionCol="cluster").fit(points)
-    return model.transform(points).select(id, "cluster")
+    return model, model.transform(points).select(id, "cluster")
+
+
+def kmeans_clusters(rows, k, id="post_id", vector="embedding", seed=V.REDUCE_SEED):
+    """``id, cluster`` by k-means, a quick second opinion without noise."""
+    return kmeans_model(rows, k, id, vector, seed)[1]
 
 
 def clustered(assigned):

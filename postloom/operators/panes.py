@@ -17,6 +17,10 @@ SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 KINDS = ("commit", "identity", "account")
 
 
+# Languages a heavy-hitter sketch keeps track of; counts are exact while there are fewer.
+TRACKED = 1000
+
+
 def sketch(column):
     return F.hll_sketch_agg(column, SKETCH_BITS)
 
@@ -98,3 +102,22 @@ def language_totals(panes):
     """Posts and users per language over all panes, each counted once."""
     return panes.groupBy("language").agg(
         F.sum("posts").alias("total_posts"), united("users").alias("total_unique_users"))
+
+
+def top_sketch(parsed, tracked=TRACKED):
+    """One row: the heavy hitters among the languages of new posts, in a sketch of bounded size."""
+    rows = post_languages(new_posts(parsed), "partition")
+    return rows.agg(F.call_function("approx_top_k_accumulate", F.col("language"), F.lit(tracked)).alias("tops"))
+
+
+def united_tops(sketches, tracked=TRACKED):
+    """One row from the rows of several ``top_sketch``."""
+    return sketches.agg(F.call_function("approx_top_k_combine", F.col("tops"), F.lit(tracked)).alias("tops"))
+
+
+def top_languages(sketches, limit=V.TOP_LANGUAGES, tracked=TRACKED):
+    """``language, total_posts`` of the commonest languages, from the rows of ``top_sketch``."""
+    # All that is tracked, so that ties are cut by name.
+    counts = F.call_function("approx_top_k_estimate", F.col("tops"), F.lit(tracked))
+    found = united_tops(sketches, tracked).select(F.inline(counts).alias("language", "total_posts"))
+    return found.orderBy(F.desc("total_posts"), "language").limit(limit)

@@ -43,6 +43,7 @@ class LiveTables:
                 panes.language_panes(decode.good_messages(held)), "pane_start", "pane_hour"), ("pane_hour",)),
             "health_panes": Table(lambda held, *_: by_hour(
                 panes.health_panes(decode.good_messages(held)), "pane_start", "pane_hour"), ("pane_hour",)),
+            "language_tops": Table(self.running_tops),
             # Last, as it stands for the batch.
             "batches": Table(self.batch_row),
         }
@@ -105,7 +106,26 @@ class LiveTables:
                 & (F.col("post_timestamp") >= F.col("_seen") - delay))
         return found.join(keys, near, "left_anti")
 
+    def running_tops(self, held, number, path):
+        """The commonest languages of all batches so far: one sketch, carried from batch to batch."""
+        now = panes.top_sketch(decode.good_messages(held))
+        if number < 1:
+            return now
+        before = held.sparkSession.read.parquet(f"{path}/batch_id={number - 1}")
+        return panes.united_tops(now.unionByName(before))
+
+    def top_languages(self, spark, limit=V.TOP_LANGUAGES):
+        """The commonest languages as of the last batch, by posts; each post counts once."""
+        names = fanout.folder_names(spark, self.path("language_tops"))
+        last = max((int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")), default=None)
+        if last is None:
+            return spark.createDataFrame([], "language string, total_posts bigint")
+        state = spark.read.parquet(f"{self.path('language_tops')}/batch_id={last}")
+        return panes.top_languages(state, limit)
+
     def expire(self, spark, number):
+        # Only the sketch of the last batches is read again.
+        fanout.remove(spark, f"{self.path('language_tops')}/batch_id={number - 3}")
         if self.keep_hours is None:
             return
         row = spark.read.parquet(f"{self.path('batches')}/batch_id={number}").select(

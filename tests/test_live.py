@@ -118,6 +118,18 @@ def test_reports_read_the_tables_after_a_restart(spark, folders):
         spark.catalog.dropTempView(name)
 
 
+def test_running_top_languages_are_one_bounded_sketch(spark, folders):
+    path = folders[0]
+    for batch in range(6):
+        names = [f"l{i:02d}" for i in range(30) for _ in range(1 + i // 2)]
+        deliver(spark, path, *[message(batch, f"{batch}-{i}", langs=(name,)) for i, name in enumerate(names)])
+    tables, _ = run(spark, *folders)
+    top = [tuple(r) for r in tables.top_languages(spark, 4).collect()]
+    assert top == [("l28", 90), ("l29", 90), ("l26", 84), ("l27", 84)]
+    assert tables.read(spark, "language_tops").count() == 3
+    assert live.LiveTables(work_dir(spark, "none")).top_languages(spark).count() == 0
+
+
 def test_tables_before_the_first_batch_are_empty(spark):
     tables = live.LiveTables(work_dir(spark, "nothing"))
     assert all(tables.read(spark, name).isEmpty() for name in tables.tables)
