@@ -26,9 +26,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from postloom.session import work_dir
 
 LEXICON_WORDS = 150_000
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 COUNTED_WORDS = 150_000
 TEXTS_AT_ONCE = 64
+SHORT_WORD = 40
 
 
 def byte_letters():
@@ -84,12 +85,32 @@ class Vocabulary:
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def merge(self, word):
-        """Ids of one word: the pair of the lowest rank is joined until none is left.
-
-        Neighbours are linked and pairs wait in a heap, so a very long word is no trouble.
-        """
+        """Ids of one word: the pair of the lowest rank is joined until none is left."""
         parts = [self.letters[b] for b in word.encode()]
         parts[-1] += self.suffix
+        parts = self.join_short(parts) if len(parts) <= SHORT_WORD else self.join_long(parts)
+        ids = self.ids
+        return [ids[p] for p in parts if p in ids]
+
+    def join_short(self, parts):
+        """Join the first pair of the lowest rank, over and over."""
+        rank, none = self.ranks.get, len(self.ranks)
+        found = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while found:
+            least = min(found)
+            if least == none:
+                break
+            i = found.index(least)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(found):
+                found[i] = rank((parts[i], parts[i + 1]), none)
+        return parts
+
+    def join_long(self, parts):
+        """The same with linked neighbours and a heap of pairs, for words of any length."""
         count = len(parts)
         after, before = list(range(1, count + 1)), list(range(-1, count - 1))
         ranks = self.ranks
@@ -115,7 +136,7 @@ class Vocabulary:
                 rank = ranks.get((parts[before[i]], parts[i]))
                 if rank is not None:
                     heapq.heappush(heap, (rank, before[i], parts[before[i]], parts[i]))
-        return [self.ids[p] for p in parts if p is not None and p in self.ids]
+        return [p for p in parts if p is not None]
 
 
 @cache
@@ -182,7 +203,8 @@ class Lexicon:
     """A compiled transducer, memory-mapped."""
 
     def __init__(self, path):
-        whole = np.memmap(path, np.int32, "r")
+        # A plain view of the mapped file: memmap objects are slow to slice.
+        whole = np.memmap(path, np.int32, "r").view(np.ndarray)
         sizes = whole[:6].tolist()
         cuts = 6 + np.cumsum([0] + sizes[:5])
         self.classes, self.ends, self.flat, self.final, step = (
@@ -287,22 +309,6 @@ class Encoder:
             self.cache[word] = ids
         return ids
 
-    def ids_of(self, words):
-        """The ids of each of some distinct words."""
-        plain = [w for w in words if type(w) is str]
-        data = " ".join(plain).encode()
-        ends = np.cumsum([len(w.encode()) + 1 for w in plain], dtype=np.int64)
-        starts = np.concatenate(([0], ends[:-1])) if plain else ends
-        number = self.words.lookup(np.frombuffer(data, np.uint8), starts, ends - 1 - starts)
-        for word, at in zip(plain, number.tolist()):
-            if at < 0:
-                yield word, self.merge(word)
-            else:
-                yield word, self.words.flat[self.words.ends[at]:self.words.ends[at + 1]].tolist()
-        for word in words:
-            if type(word) is int:
-                yield word, [word]
-
     def encode(self, texts):
         """Flat ids and the end of each text in them."""
         pieces, counts = [], []
@@ -372,11 +378,56 @@ def decode(rows, tokenizer, ids="ids", text="decoded"):
     return rows.mapInArrow(task, StructType([*rows.schema.fields, StructField(text, StringType())]))
 
 
-def written_words(encoder, words):
-    """For each distinct word its ids in decimals, and their tokens, both joined by a space."""
-    tokens = encoder.vocab.tokens
-    for word, ids in encoder.ids_of(words):
-        yield word, " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
+class Written:
+    """What stands for each word: its ids in decimals, and their tokens, both joined by a space.
+
+    Words of the lexicon are kept; the others, merged, make room for new ones from time to time.
+    """
+
+    def __init__(self, vocab, words):
+        self.vocab, self.words = vocab, words
+        self.decimals, self.decoded, self.merged, self.silent = {}, {}, [], set()
+
+    def learn(self, pieces):
+        """Have all words of some lists of words."""
+        if len(self.merged) > CACHE_WORDS:
+            for word in self.merged:
+                del self.decimals[word], self.decoded[word]
+            self.merged = []
+        unseen = set().union(*pieces).difference(self.decimals)
+        plain = [w for w in unseen if type(w) is str]
+        for word in unseen.difference(plain):
+            self.put(word, [word])
+        if not plain:
+            return
+        ends = np.cumsum([len(w.encode()) + 1 for w in plain])
+        starts = np.concatenate(([0], ends[:-1]))
+        data = np.frombuffer(" ".join(plain).encode(), np.uint8)
+        number = self.words.lookup(data, starts, ends - 1 - starts)
+        known = number >= 0
+        first, last = self.words.ends[number[known]].tolist(), self.words.ends[number[known] + 1].tolist()
+        ranges = iter(zip(first, last))
+        for word, inside in zip(plain, known.tolist()):
+            if inside:
+                a, b = next(ranges)
+                self.put(word, self.words.flat[a:b].tolist())
+            else:
+                self.put(word, self.vocab.merge(word))
+                self.merged.append(word)
+
+    def put(self, word, ids):
+        tokens = self.vocab.tokens
+        self.decimals[word] = " ".join(map(str, ids))
+        self.decoded[word] = " ".join([tokens[i] for i in ids])
+        if not ids:
+            self.silent.add(word)
+
+    def texts(self, words):
+        """Ids and decoded text of a list of words."""
+        if self.silent:
+            words = [w for w in words if w not in self.silent]
+        return (" ".join(map(self.decimals.__getitem__, words)),
+                " ".join(map(self.decoded.__getitem__, words)))
 
 
 def digests(docs, tokenizer, words=LEXICON_WORDS):
@@ -390,25 +441,15 @@ def digests(docs, tokenizer, words=LEXICON_WORDS):
 
     def task(batches):
         vocab = vocabulary(tokenizer)
-        encoder = Encoder(vocab, lexicon(SparkFiles.get(name)))
-        decimals, decoded, silent = {}, {}, set()
+        written = Written(vocab, lexicon(SparkFiles.get(name)))
         for part in slices(batches):
             pieces = [vocab.pieces(t) if t else [] for t in part.column("text").to_pylist()]
-            if len(decimals) > CACHE_WORDS:
-                decimals, decoded, silent = {}, {}, set()
-            unseen = set().union(*pieces).difference(decimals)
-            for word, ids, text in written_words(encoder, list(unseen)):
-                decimals[word], decoded[word] = ids, text
-                if not ids:
-                    silent.add(word)
+            written.learn(pieces)
             counts, hashes, back = [], [], []
             for own in pieces:
-                if silent:
-                    own = [w for w in own if w not in silent]
-                ids = " ".join([decimals[w] for w in own])
+                ids, text = written.texts(own)
                 counts.append(ids.count(" ") + 1 if ids else 0)
                 hashes.append(hashlib.sha256(ids.encode()).hexdigest())
-                text = " ".join([decoded[w] for w in own])
                 back.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()),
