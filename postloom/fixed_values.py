@@ -98,7 +98,6 @@ PROMPT_HEAD = (
 ANALYSIS_ROW_CAP = 15_000
 ARROW_BATCH_ROWS = 100
 ENCODER_BATCH = 32
-TRUNCATE_DIM = 256
 REDUCED_DIM = 64
 REDUCE_SEED = 2025
 MIN_CLUSTER_SIZE = 40

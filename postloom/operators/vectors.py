@@ -32,15 +32,28 @@ def hashed_embedding(text, dims=HASHED_DIMS):
         bucket = (F.shiftright(number, 4) % dims).cast("int")
         return bucket * 2 + F.when(number.bitwiseAND(F.lit(15)) < 8, 0).otherwise(1)
 
-    def uses(codes, wanted):
-        return F.size(codes) - F.size(F.array_remove(codes, wanted))
+    def runs(ordered):
+        """How often each code occurs, from the codes in order."""
+        starts = F.filter(
+            F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i)),
+            lambda i: i.isNotNull(),
+        )
+        return let(starts, lambda at: F.map_from_entries(F.transform(at, lambda start, i: F.struct(
+            F.get(ordered, start).alias("code"),
+            (F.coalesce(F.get(at, i + 1), F.size(ordered)) - start).alias("uses")))))
+
+    def uses(found, wanted):
+        return F.coalesce(F.try_element_at(found, wanted), F.lit(0))
 
     codes = F.transform(F.transform(tokens, lambda word: md5_uint(word, 1, 9)), code)
     buckets = F.sequence(F.lit(0), F.lit(dims - 1))
     sums = let(
-        codes,
-        lambda found: F.transform(
-            buckets, lambda bucket: uses(found, bucket * 2) - uses(found, bucket * 2 + 1)
+        F.array_sort(codes),
+        lambda ordered: let(
+            runs(ordered),
+            lambda found: F.transform(
+                buckets, lambda bucket: uses(found, bucket * 2) - uses(found, bucket * 2 + 1)
+            ),
         ),
     )
     return sums.cast("array<float>")
@@ -70,30 +83,48 @@ def hashing_encoder(dims=HASHED_DIMS):
     return make
 
 
-def encode_posts(posts, make_encoder, text="text", unit_length=True, batch=V.ENCODER_BATCH):
+def unit_rows(matrix):
+    """Rows at unit length; a row of zeros stays."""
+    exact = matrix.astype(np.float64)
+    norms = np.linalg.norm(exact, axis=1, keepdims=True)
+    return (exact / np.where(norms > 0, norms, 1.0)).astype(np.float32)
+
+
+def encode_posts(posts, make_encoder, text="text", unit_length=True, batch=V.ENCODER_BATCH,
+                 repair=False, truncate_dim=None):
     """``posts`` with an ``embedding`` of their ``text`` by the user's encoder.
 
     ``make_encoder`` runs once per Python worker, when its first rows arrive, and
-    serves its later tasks too; the encoder gets ``batch`` texts at a time.  Narrow ``posts`` to the
-    columns you need first: Spark cannot prune columns through the call.
+    serves its later tasks too; the encoder gets ``batch`` texts at a time.  With ``repair`` a vector
+    that is not finite is encoded once more, and fails the job if it still is not.
+    ``truncate_dim`` keeps the first components, before the length is made one.  Narrow ``posts`` to
+    the columns you need first: Spark cannot prune columns through the call.
     """
     schema = StructType([*posts.schema, StructField("embedding", ArrayType(FloatType()))])
 
     key = model_key(make_encoder)
 
+    def encoded(encode, texts):
+        parts = [
+            np.asarray(encode(texts[i : i + batch]), dtype=np.float32)
+            for i in range(0, len(texts), batch)
+        ]
+        return np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
+
     def encode_task(frames):
         for frame in frames:
             encode = loaded(key, make_encoder)
             texts = frame[text].fillna("").astype(str).tolist()
-            parts = [
-                np.asarray(encode(texts[i : i + batch]), dtype=np.float32)
-                for i in range(0, len(texts), batch)
-            ]
-            vectors = np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
+            vectors = encoded(encode, texts)
+            bad = np.flatnonzero(~np.isfinite(vectors).all(axis=1)) if repair else []
+            if len(bad):
+                vectors[bad] = encoded(encode, [texts[i] for i in bad])
+                if not np.isfinite(vectors[bad]).all():
+                    raise ValueError("a vector is not finite after repair")
+            if truncate_dim:
+                vectors = vectors[:, :truncate_dim]
             if unit_length:
-                exact = vectors.astype(np.float64)
-                norms = np.linalg.norm(exact, axis=1, keepdims=True)
-                vectors = (exact / np.where(norms > 0, norms, 1.0)).astype(np.float32)
+                vectors = unit_rows(vectors)
             yield frame.assign(embedding=pd.Series(list(vectors), index=frame.index, dtype=object))
 
     return posts.mapInPandas(encode_task, schema)

@@ -114,3 +114,45 @@ def test_one_model_per_worker(spark, tmp_path):
     # Another model takes the place of the last one.
     other = vectors.encode_posts(rows, lambda: lambda texts: np.ones((len(texts), 3)))
     assert other.where("size(embedding) = 3").count() == 640
+
+
+def test_repair_inside_the_encoding_task(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def make():
+        def encode(texts):
+            with open(calls, "a") as file:
+                file.write("x" * len(texts))
+            seen = len(open(calls).read())
+            return [[float("nan") if t == "once" and seen <= 3 else 3.0, 4.0, 9.0] for t in texts]
+        return encode
+
+    rows = spark.createDataFrame([(1, "a"), (2, "once"), (3, None)], "id int, text string").coalesce(1)
+    got = vectors.encode_posts(rows, make, repair=True, truncate_dim=2).collect()
+    assert [r.embedding for r in got] == [pytest.approx([0.6, 0.8])] * 3
+    assert len(open(calls).read()) == 4
+    never = vectors.encode_posts(rows, flaky_encoder(), repair=True)
+    assert never.count() == 3
+    bad = rows.withColumn("text", F.lit("bad"))
+    with pytest.raises(Exception, match="not finite after repair"):
+        vectors.encode_posts(bad, flaky_encoder(), repair=True).collect()
+
+
+def test_embedding_job_reads_and_writes_once(spark, tmp_path):
+    from postloom.plans.embedding import ARROW_ROWS, embed_table
+
+    def make():
+        return lambda texts: np.full((len(texts), 4), float(len(texts)))
+
+    posts = spark.range(500).select(
+        F.lit("d").alias("did"), F.col("id").cast("string").alias("rkey"), F.lit("some text").alias("text"))
+    source, target = str(tmp_path / "posts"), str(tmp_path / "vectors")
+    posts.coalesce(1).write.parquet(source)
+    before = spark.conf.get(ARROW_ROWS)
+    embed_table(spark, source, target, make, unit_length=False, truncate_dim=2, batch=64, batch_rows=100)
+    assert spark.conf.get(ARROW_ROWS) == before
+    rows = spark.read.parquet(target).collect()
+    assert len(rows) == 500 and {len(r.embedding) for r in rows} == {2}
+    # Batches of 100 rows reach the encoder as 64 and 36 texts.
+    assert {r.embedding[0] for r in rows} <= {64.0, 36.0} | {float(n) for n in range(1, 64)}
+    assert max(r.embedding[0] for r in rows) <= 64
