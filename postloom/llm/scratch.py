@@ -1,7 +1,11 @@
 """Tables between the steps of a job, in the folder that all executors share."""
 
+from contextlib import contextmanager
+
 from postloom.session import work_dir
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 class Scratch:
     """One job's folder of intermediate tables.
@@ -33,6 +37,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_rows(spark, rows):
+    """At most ``rows`` rows per Arrow batch for the jobs run inside, where rows are large."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def is_small(df, row_bytes, limit=32 << 20):
     """Whether a written table of short rows may be sent to every executor."""
     return df.count() * row_bytes <= limit

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postloom.llm.scratch import Scratch
+from postloom.llm.scratch import Scratch, arrow_rows
 
 TOP = 20
 SEED_DOCS = 200
@@ -32,6 +32,8 @@ BATCH_POSTINGS = 100_000
 TASK_POSTINGS = 1_000_000
 SCORES_AT_ONCE = 4_000_000
 ITEM_BYTES = 4 << 20
+# Parts and texts are large rows: few of them at a time between Spark and its workers.
+ROWS_AT_ONCE = 64
 FLOOR, SLOPE = 75, 25
 WEIGHT, IMPACT, FREQUENCY, LENGTH = 1000, 1_000_000_000, 1000, 12
 
@@ -454,17 +456,16 @@ def ranked(docs, items, top=TOP):
     has no rows.  Other columns are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "strata")
-    empty = spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
-    count, total = lengths(docs).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if not count:
-        return empty
-    index = scratch.save(build_index(docs, count, total), "index")
-    asked = scratch.save(item_terms(items), "asked")
     found = None
-    for at, group in enumerate(item_groups(asked)):
-        more = search(index, group, count, top, scratch, f"answers-{at}")
-        found = more if found is None else found.unionByName(more)
+    with arrow_rows(spark, ROWS_AT_ONCE):
+        count, total = lengths(docs).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        asked = scratch.save(item_terms(items), "asked")
+        if count:
+            index = scratch.save(build_index(docs, count, total), "index")
+            for at, group in enumerate(item_groups(asked)):
+                more = search(index, group, count, top, scratch, f"answers-{at}")
+                found = more if found is None else found.unionByName(more)
     if found is None:
-        return empty
+        return spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
     places = asked.select("place", "item_id").distinct()
     return best(found, top).join(places, "place").select("item_id", "rank", "doc_id", "score")
