@@ -32,7 +32,7 @@ def test_cluster_map_job(spark):
         for g in range(3) for i in range(80)
     ]
     vectors = spark.createDataFrame(rows, "post_id string, embedding array<float>, text_clean string")
-    bubbles = cluster_map(vectors, dims=8, cell_width=0.8, min_pts=10).collect()
+    bubbles = cluster_map(vectors, dims=8, min_pts=10).collect()
     assert sorted(b.summary.split(" ")[0] for b in bubbles) == ["topic0", "topic1", "topic2"]
     assert [b["size"] for b in bubbles] == [80, 80, 80]
     assert {b.color for b in bubbles} == {0.0, 0.5, 1.0}
@@ -40,5 +40,5 @@ def test_cluster_map_job(spark):
     def labeller():
         return lambda prompts: ["x model Provide a concise topic model Named" for _ in prompts]
 
-    named = cluster_map(vectors, labeller, dims=8, cell_width=0.8, min_pts=10).collect()
+    named = cluster_map(vectors, labeller, dims=8, min_pts=10).collect()
     assert {b.summary for b in named} == {"Named"}
