@@ -282,7 +282,11 @@ def predict(rows, model, language="lang_pred", score="score", text="text"):
 
 
 def languages_of(docs, **sample):
-    """``doc_id, held_out, lang_pred, score`` for every row of ``docs (doc_id, text, lang)``."""
+    """``doc_id, held_out, lang_pred, score`` for every row of ``docs (doc_id, text, lang)``.
+
+    Repeated rows are rows of their own; a null doc_id has a null ``held_out`` and is not learned from;
+    other columns are not read.
+    """
     found = predict(docs.select("doc_id", "text"), train(docs, **sample))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 

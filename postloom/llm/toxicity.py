@@ -177,7 +177,8 @@ def severities(docs, labels, **sample):
 
     ``severity`` is the expected grade, 0 to 2; ``grade`` the likeliest one; ``toxic`` whether grades
     above 0 are likelier than 0.  Null and empty texts, and all texts when nothing is labelled, have
-    severity 0.
+    severity 0.  Repeated rows are graded each; of repeated labels the toxic one counts; other columns
+    are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **sample))
 

@@ -240,7 +240,9 @@ def roundtrip(pages, least=LEAST_SHARED, range_bytes=RANGE_BYTES):
     """Write ``pages`` as archives and read them back.
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``; archives stay in the shared
-    folder.
+    folder.  A null html is empty.  Of equal payloads the row with the smallest page_id is the
+    response; rows that repeat a page_id, or have none, are records of their own.  Other columns are
+    not read.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     folder = scratch.path("archives")

@@ -426,3 +426,56 @@ def test_without_labels_only_letterless_texts_are_dropped(odd):
     kept = language.keep_known(odd.withColumn("lang", F.lit(None).cast("string")))
     assert kept.columns == odd.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 2, None, 5, 7])
+
+
+def test_pipeline_stages_on_odd_rows_equal_brute_force(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = ODD + [(10, near, "en", "a", 1, "x", 0), (11, near + " more", "en", "b", 1, "x", 0),
+                  (12, near.upper(), "en", "b", 1, "x", 0), (13, "short one", None, None, 1, "x", 0)]
+    docs, kept = spark.createDataFrame(rows, DOCS).repartition(3), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        stage(spark, docs, None).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert name == "bpe_lexicon" or docs.columns == before
+        kept[name] = docs
+    ids = {n: Counter(r.doc_id for r in f.collect()) for n, f in kept.items()}
+    assert ids["language_id"] == Counter([1, 2, 2, None, 5, 7, 10, 11, 12, 13])
+    assert ids["exact_dedup"] == Counter([2, None, 5, 7, 11, 12, 13])
+    assert ids["ngram_jaccard"] == Counter([2, None, 5, 7, 11, 13])
+    copies = {r.doc_id: r.copies for r in mixing.mix(kept["ngram_jaccard"]).collect()}
+    assert ids["pareto_mixing"] == Counter({d: n for d, n in copies.items() if n})
+    library = Tokenizer.from_file(tokenizer())
+    wanted = Counter()
+    for r in kept["pareto_mixing"].collect():
+        coded = library.encode(r.text or "", add_special_tokens=False).ids
+        wanted[r.doc_id, hashlib.sha256(" ".join(map(str, coded)).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.ids_sha256) for r in docs.collect()) == wanted
+    empty = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, None).count() == 0
+
+
+def test_short_and_long_words_are_merged_alike():
+    vocab = bpe.vocabulary(tokenizer())
+    pick = random.Random(6)
+    for size in [1, 2, 3, 7, 20, 40, 200]:
+        for _ in range(30):
+            word = "".join(pick.choice("abcdeinorst-éñ") for _ in range(size))
+            parts = [vocab.letters[b] for b in word.encode()]
+            parts[-1] += vocab.suffix
+            assert vocab.join_short(list(parts)) == vocab.join_long(list(parts))
+
+
+def test_chances_of_grades_are_differences_of_cumulative_links():
+    draw = np.random.default_rng(0)
+    score, cuts = draw.normal(size=50), np.array([-0.3, 0.8])
+    model = toxicity.OrdinalModel(np.array([1], np.uint64), np.zeros(1), cuts)
+    chances = model.chances(score)
+    assert np.allclose(chances.sum(axis=1), 1) and (chances > 0).all()
+    plain = 1 / (1 + np.exp(-(cuts - score[:, None])))
+    assert np.allclose(chances[:, 0], plain[:, 0]) and np.allclose(chances[:, 2], 1 - plain[:, 1])
