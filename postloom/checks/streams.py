@@ -195,6 +195,16 @@ def run_live(spark, folder, newest_first=False, again=False):
     return tables
 
 
+@cache
+def _live_tables(application, spark, folder):
+    return run_live(spark, folder)
+
+
+def live_tables(spark, folder):
+    """The tables of one live run per session, for the queries that read them."""
+    return _live_tables(spark.sparkContext.applicationId, spark, folder)
+
+
 @query("live_sinks", FIREHOSE_SQL + DEAD_SQL + """
 SELECT 'posts' AS name, count(*) AS n FROM (
     SELECT DISTINCT did, rkey FROM posts WHERE length(text) > 0)
@@ -217,7 +227,7 @@ def live_sinks(spark, folder):
 @query("live_posts", RAW_POSTS_SQL)
 def live_posts(spark, folder):
     """The posts of the live job: repeats that arrive in later batches are left out."""
-    landed = run_live(spark, folder).read(spark, "posts").drop("post_hour", "batch_id")
+    landed = live_tables(spark, folder).read(spark, "posts").drop("post_hour", "batch_id")
     return landed.withColumn("langs", langs_text())
 
 
@@ -225,14 +235,14 @@ def live_posts(spark, folder):
 def live_language(spark, folder):
     """Windows merged from panes of several batches, with the exact users and whether the merged
     sketches come within three standard errors of them."""
-    merged = run_live(spark, folder).windows(spark)[V.LANGUAGE_TABLE]
+    merged = live_tables(spark, folder).windows(spark)[V.LANGUAGE_TABLE]
     exact = language_activity(firehose(spark, folder), exact=True)
     return compared(merged, exact, ["window_start", "window_end", "language"], ["unique_users"])
 
 
 @query("live_health", HEALTH_SQL.format(more=", TRUE AS unique_users_close"))
 def live_health(spark, folder):
-    merged = run_live(spark, folder).windows(spark)[V.HEALTH_TABLE]
+    merged = live_tables(spark, folder).windows(spark)[V.HEALTH_TABLE]
     exact = platform_health(firehose(spark, folder), exact=True)
     return compared(merged, exact, ["window_start", "window_end"], ["unique_users"])
 
@@ -243,7 +253,7 @@ SELECT language, count(*) AS total_posts, count(DISTINCT partition_key) AS total
 FROM post_languages GROUP BY language""")
 def live_language_totals(spark, folder):
     """Users per language over all panes: overlapping windows count nobody twice."""
-    merged = language_totals(run_live(spark, folder).read(spark, "language_panes"))
+    merged = language_totals(live_tables(spark, folder).read(spark, "language_panes"))
     exact = top_languages_exact(firehose(spark, folder), limit=10**6).drop("avg_processing_delay")
     return compared(merged, exact, ["language"], ["total_unique_users"])
 
@@ -253,7 +263,7 @@ SELECT language, count(*) AS total_posts FROM post_languages GROUP BY language
 ORDER BY total_posts DESC, language LIMIT {V.TOP_LANGUAGES}""")
 def live_top_languages(spark, folder):
     """The commonest languages from the one sketch that the live job carries along."""
-    return run_live(spark, folder).top_languages(spark)
+    return live_tables(spark, folder).top_languages(spark)
 
 
 @query("dead_letters", FIREHOSE_SQL + DEAD_SQL + """
