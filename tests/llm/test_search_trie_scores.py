@@ -25,7 +25,7 @@ def trie_of(rows):
             digest = hashlib.sha256(f"{len(pair[0])}:{pair[0]}{pair[1]}".encode()).digest()[:16]
             own[conv].append((turn is not None, turn or 0, digest, pair))
     own = {c: [t[3] for t in sorted(turns)] for c, turns in own.items()}
-    members, chars = defaultdict(list), {}
+    members = defaultdict(list)
     for c, turns in own.items():
         h = zlib.crc32(str(c).encode()) % 6
         whole = own.get(c - int(math.fmod(c, 100)), [])[:h] + turns[h:]
@@ -41,7 +41,6 @@ def trie_of(rows):
             min(convs), len(prefix), min(c for c, _ in members[prefix[:-1]]) if prefix else None,
             len(convs), len(below), sum(found[b][5] for b in below) or 1,
             saved + sum(found[b][6] for b in below), hashlib.sha256(ends.encode()).hexdigest())
-    del chars
     return found
 
 
