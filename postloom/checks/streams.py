@@ -19,7 +19,7 @@ from postloom.plans.collection import start_checked_collection, start_collection
 from postloom.plans.live import start_live
 from postloom.plans.reports import top_languages_exact
 from postloom.session import work_dir
-from postloom.sources.replay import record_topic, replay_lines, replay_topic
+from postloom.sources.replay import file_count, record_topic, replay_lines, replay_topic
 from postloom.sources.tables import FEED_SQUEEZE, FEED_START_US, firehose, table, topic
 from postloom.streaming import progress
 from postloom.streaming.fanout import folder_names, remove
@@ -30,14 +30,19 @@ SLICES = 3
 ROWS_PER_FILE = 1000
 
 
-@cache
-def _recording(application, spark, folder, newest_first):
-    """Path and files per slice: as many as the cluster shuffles into, none of them empty."""
+def file_number(spark, folder, slices=1, rows_per_file=ROWS_PER_FILE):
+    """Files per slice: as many as the cluster shuffles into, none of them short of rows."""
     rows = table(spark, folder, "events").count()
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = max(1, min(most, rows // SLICES // ROWS_PER_FILE))
+    return max(1, min(most, rows // slices // rows_per_file))
+
+
+@cache
+def _recording(application, spark, folder, newest_first):
+    """Path and files per slice."""
+    files = file_number(spark, folder, SLICES)
     path = work_dir(spark, "recording")
-    record_topic(topic(spark, folder), path, SLICES, files, newest_first=newest_first)
+    record_topic(topic(spark, folder, files), path, SLICES, files, newest_first=newest_first)
     return path, files
 
 
@@ -147,7 +152,7 @@ DEAD_SQL = """, dead AS (
 LIVE_SLICES = 4
 
 
-def mixed_topic(spark, folder):
+def mixed_topic(spark, folder, parts=None):
     """The feed with broken messages among the good ones."""
     events = table(spark, folder, "events", "event_id", "user_id", "ts").where("event_id % 10 = 3")
     elapsed = F.expr(f"(unix_micros(to_timestamp(ts)) - {FEED_START_US}) div {FEED_SQUEEZE}")
@@ -159,19 +164,22 @@ def mixed_topic(spark, folder):
         (F.col("user_id") % 4).cast("int").alias("partition"),
         (F.col("event_id") + 2000000000).alias("offset"),
         F.timestamp_micros(F.lit(FEED_START_US) + elapsed).alias("timestamp"))
-    return topic(spark, folder).unionByName(broken)
+    return topic(spark, folder, parts).unionByName(broken)
 
 
 @cache
 def _mixed_recording(application, spark, folder, newest_first):
+    """Path and files per slice."""
+    files = max(2, file_number(spark, folder, LIVE_SLICES))
     path = work_dir(spark, "mixed")
-    return record_topic(mixed_topic(spark, folder), path, LIVE_SLICES, 2, newest_first=newest_first)
+    record_topic(mixed_topic(spark, folder, files), path, LIVE_SLICES, files, newest_first=newest_first)
+    return path, files
 
 
 def mixed_feed(spark, folder, newest_first=False):
     """The mixed topic as a stream, one slice of its time per batch."""
-    path = _mixed_recording(spark.sparkContext.applicationId, spark, folder, newest_first)
-    return replay_topic(spark, path, 2)
+    path, files = _mixed_recording(spark.sparkContext.applicationId, spark, folder, newest_first)
+    return replay_topic(spark, path, files)
 
 
 def run_live(spark, folder, newest_first=False, again=False):
@@ -317,7 +325,10 @@ SELECT {MANY_BATCHES} AS batches, count(*) AS input_rows,
 def query_progress(spark, folder):
     """The lasting record of a query of more batches than the session keeps."""
     path, record = work_dir(spark, "many"), work_dir(spark, "progress")
-    record_topic(topic(spark, folder), path, 1, MANY_BATCHES)
+    record_topic(topic(spark, folder, MANY_BATCHES), path, 1, MANY_BATCHES)
+    if file_count(spark, path) < MANY_BATCHES:  # too few documents for a file from each
+        path = work_dir(spark, "many")
+        record_topic(topic(spark, folder).repartition(MANY_BATCHES), path, 1, MANY_BATCHES)
     feed = replay_topic(spark, path, 1).select("offset")
     with progress.ProgressLog(spark, record):
         writer = feed.writeStream.format("noop").queryName("counted").trigger(availableNow=True)
@@ -334,7 +345,8 @@ SELECT count(*) AS input_rows, TRUE AS within_limit FROM firehose""")
 def admission(spark, folder):
     """Batch sizes of a feed admitted by rows, read back from the lasting record."""
     path, record = work_dir(spark, "limited"), work_dir(spark, "progress")
-    record_topic(topic(spark, folder), path, 1, 2, rows_per_file=V.ANALYTICS_MAX_OFFSETS)
+    files = max(2, file_number(spark, folder, rows_per_file=V.ANALYTICS_MAX_OFFSETS))
+    record_topic(topic(spark, folder, files), path, 1, files, rows_per_file=V.ANALYTICS_MAX_OFFSETS)
     feed = replay_topic(spark, path, 1).select("offset")
     with progress.ProgressLog(spark, record):
         writer = feed.writeStream.format("noop").queryName("admitted").trigger(availableNow=True)

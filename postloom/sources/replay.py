@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from postloom import fixed_values as V
+from postloom.streaming.fanout import folder_names
 
 
 def record_topic(topic, path, slices=1, files_per_slice=8, time="timestamp", newest_first=False,
@@ -10,8 +11,10 @@ def record_topic(topic, path, slices=1, files_per_slice=8, time="timestamp", new
     """Write ``topic`` so that a replay delivers it slice by slice.
 
     Slices are equal spans of ``time``, written one after the other; a replay
-    of ``files_per_slice`` files per batch takes one slice per batch.  No file has more than
-    ``rows_per_file`` rows, so a replay of one file per batch admits no more.
+    of ``files_per_slice`` files per batch takes one slice per batch.  Messages are written by the tasks
+    that have them, ``files_per_slice`` at most, and never shuffled; a slice with fewer files is
+    filled up with empty ones.  No file has more than ``rows_per_file`` rows, so a replay of one
+    file per batch admits no more.
     """
     if slices > 1:
         seconds = F.unix_micros(time)
@@ -20,13 +23,25 @@ def record_topic(topic, path, slices=1, files_per_slice=8, time="timestamp", new
     else:
         part = F.lit(0)
     order = range(slices - 1, -1, -1) if newest_first else range(slices)
-    for number in order:
+    for done, number in enumerate(order, 1):
         chosen = topic.where(part == number) if slices > 1 else topic
-        chosen.repartition(files_per_slice).write.mode("append").option(
-            "maxRecordsPerFile", rows_per_file or 0).parquet(path)
+        write_files(chosen.coalesce(files_per_slice), path, rows_per_file)
+        if done < slices and not rows_per_file:
+            empty = topic.sparkSession.createDataFrame([], topic.schema).coalesce(1)
+            for _ in range(done * files_per_slice - file_count(topic.sparkSession, path)):
+                write_files(empty, path)
     return path
 
 
+def write_files(rows, path, rows_per_file=None):
+    writer = rows.write.mode("append").option("compression", "zstd")
+    writer.option("maxRecordsPerFile", rows_per_file or 0).parquet(path)
+
+
+def file_count(spark, path):
+    return sum(name.endswith(".parquet") for name in folder_names(spark, path))
+
+
 def replay_topic(spark, path, files_per_batch=None, bytes_per_batch=None):
     """A recorded topic as a stream, all files first to last."""
     reader = spark.readStream.schema(V.TOPIC_SCHEMA)

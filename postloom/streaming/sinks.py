@@ -32,7 +32,7 @@ def to_parquet(stream, path, checkpoint, name=None, partition_by=None, every=Non
     Partitioning by ``window_start`` makes a directory per window; for long
     streams partition by a coarser column, see ``with_window_date``.
     """
-    writer = _writer(stream, name, "append", every).format("parquet")
+    writer = _writer(stream, name, "append", every).format("parquet").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     return writer.option("path", path).option("checkpointLocation", checkpoint).start()

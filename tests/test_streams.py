@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom import fixed_values as V
+from postloom.checks import streams
 from postloom.operators import activity, decode, posts
 from postloom.plans import live, reports
 from postloom.plans.collection import collect_for
 from postloom.session import work_dir
-from postloom.sources.replay import record_topic, replay_topic
+from postloom.sources.replay import file_count, record_topic, replay_topic
 from postloom.sources.tables import topic
 from postloom.streaming.runner import QuerySet, run_for
 from postloom.streaming.sinks import to_console, to_memory, to_parquet, with_window_date
@@ -219,3 +220,28 @@ def test_watch_outlives_a_failed_query():
     assert time.monotonic() - start >= 2
     QuerySet(Stub("one", 1), Stub("two", 2)).watch(60, step=30)
     assert time.monotonic() - start < 20
+
+
+def test_a_slice_of_few_rows_is_a_batch_of_its_own(spark):
+    rows = [(b"k", b"v", "t", 0, i, dt.datetime(2024, 1, 1, 0, i)) for i in range(3)]
+    path = record_topic(spark.createDataFrame(rows, V.TOPIC_SCHEMA), work_dir(spark, "few"), 3, 4)
+    query = to_parquet(replay_topic(spark, path, 4).select("offset"), work_dir(spark, "few-out"),
+                       work_dir(spark, "checkpoint"), "few")
+    QuerySet(query).finish()
+    assert [p.numInputRows for p in query.recentProgress if p.numInputRows] == [1, 1, 1]
+
+
+def test_recordings_grow_in_files_not_in_file_size(spark):
+    folder = work_dir(spark, "larger")
+    spark.range(16_000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts",
+        "id % 50 AS user_id", "'click' AS event_type").write.parquet(f"{folder}/events.parquet")
+    spark.range(400).selectExpr(
+        "id AS doc_id", "concat('text ', id) AS text", "'en' AS lang").write.parquet(f"{folder}/documents.parquet")
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    path, files = streams._mixed_recording("larger", spark, folder, False)
+    assert files == 4 and file_count(spark, path) == 4 * streams.LIVE_SLICES
+    recorded = spark.read.parquet(path)
+    assert recorded.count() == 16_000 + 640 + 1_600
+    largest = recorded.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert largest < 2 * 18_240 / 16
