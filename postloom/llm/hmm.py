@@ -11,8 +11,10 @@ transitions and emissions of its texts, Spark sums them over the tasks, and the
 the model, whose size is fixed by the parameters.  The likelihood of a text is exact: a long text is
 cut into segments whose transfer matrices are computed side by side and chained in order.
 
-The model starts from a bounded sample (``START_TEXTS`` texts of up to ``START_WORDS`` words); the
-counts and the ``ROUNDS`` rounds after it cover every training text whole.
+The model starts from the neighbours in all training texts: symbols are dealt into ``GROUPS`` groups,
+the most frequent ones alone, Spark counts the pairs of groups that follow each other, and the states
+are fitted to that table, whose size does not grow with the corpus.  The counts, the pairs and the
+``ROUNDS`` rounds after them cover every training text whole.
 """
 
 import hashlib
@@ -37,9 +39,8 @@ SEGMENT = 256
 TOKENS_AT_ONCE = 400_000
 GROUP_SEGMENTS = 2_048
 ROUNDS = 3
-START_TEXTS = 800
-START_WORDS = 2_000
-START_ROUNDS = 15
+GROUPS = 512
+PAIR_ROUNDS = 200
 # Pseudo-tokens with the corpus' own frequencies, added to each state's emissions.
 PRIOR = 300.0
 # Expected counts are summed as whole multiples of this, so that their order does not matter.
@@ -414,18 +415,74 @@ def expected_sums(coded, model, width):
     return other[states], other[:states], emits, float(other[states + 1, 0])
 
 
+def symbol_groups(unigram, groups=GROUPS):
+    """A group for every symbol: the heaviest ones have one each, the others share the last half."""
+    order = np.argsort(-unigram, kind="stable")
+    alone = groups // 2
+    found = np.empty(len(unigram), np.int64)
+    found[order] = np.where(
+        np.arange(len(order)) < alone, np.arange(len(order)), alone + np.arange(len(order)) % (groups - alone))
+    return found
+
+
+def pair_counts(coded, group, width, groups=GROUPS):
+    """How often a symbol of one group follows one of another, over all training texts, and how often a
+    text starts with each group."""
+    shipped = coded.sparkSession.sparkContext.broadcast(group)
+
+    def task(batches):
+        found, firsts = np.zeros(groups * groups, np.int64), np.zeros(groups, np.int64)
+        for texts in chunks(batches, width=width):
+            flat = shipped.value[np.concatenate(texts)]
+            heads = np.cumsum([0] + [len(t) for t in texts[:-1]])
+            inside = np.ones(len(flat), bool)
+            inside[heads] = False
+            at = np.flatnonzero(inside)
+            found += np.bincount(flat[at - 1] * groups + flat[at], minlength=len(found))
+            firsts += np.bincount(flat[heads], minlength=groups)
+        every = np.concatenate([found, firsts])
+        place = np.flatnonzero(every)
+        for at in range(0, len(place), 65_536):
+            part = place[at:at + 65_536]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part.astype(np.int32)), pa.array(every[part])], ["place", "n"])
+
+    rows = coded.where(~F.col("held_out")).select("symbols").mapInArrow(task, "place int, n bigint")
+    sums = rows.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    shipped.unpersist()
+    every = np.zeros(groups * groups + groups)
+    every[sums.column("place").to_numpy()] = sums.column("n").to_numpy()
+    return every[:-groups].reshape(groups, groups), every[-groups:]
+
+
+def paired_model(pairs, firsts, group, unigram, states=STATES, rounds=PAIR_ROUNDS):
+    """The states that explain which groups follow each other: P(a, b) = sum of joint[i, j] *
+    emits[a, i] * emits[b, j], fitted by expectation maximisation."""
+    mass = np.bincount(group, unigram, len(firsts))
+    first = Model.first(mass, states)
+    emits, joint = first.emits, first.moves / states
+    for _ in range(rounds if pairs.any() else 0):
+        seen = emits @ joint @ emits.T
+        ratio = np.divide(pairs, seen, out=np.zeros_like(pairs), where=seen > 0)
+        sums = emits * (ratio @ emits @ joint.T + ratio.T @ emits @ joint)
+        joint = joint * (emits.T @ ratio @ emits) + 0.1
+        joint = joint / joint.sum()
+        sums += PRIOR * mass[:, None]
+        emits = sums / sums.sum(0)
+    # A text starts in the states that its first group speaks for.
+    weight = emits * joint.sum(1)
+    start = (firsts / np.maximum(weight.sum(1), 1e-300)) @ weight + 0.1
+    share = np.divide(unigram, mass[group], out=np.zeros_like(unigram), where=mass[group] > 0)
+    return Model(start / start.sum(), joint / joint.sum(1, keepdims=True), emits[group] * share[:, None])
+
+
 def train(coded, unigram, width, states=STATES, rounds=ROUNDS):
-    """A model from a bounded sample, then ``rounds`` of Baum-Welch over all training texts."""
-    sample = (
-        coded.where(~F.col("held_out") & (F.col("n_tokens") <= START_WORDS))
-        .orderBy(F.xxhash64("symbols"), "row").limit(START_TEXTS).select("symbols").toArrow()
-    )
-    texts = [np.frombuffer(t, width) for t in sample.column(0).to_pylist()]
-    model = Model.first(unigram, states)
-    for _ in range(START_ROUNDS if texts else 0):
-        model = model.improved(model.expected(texts), unigram)
+    """A model from the pairs of all training texts, then ``rounds`` of Baum-Welch over all of them."""
+    group = symbol_groups(unigram)
+    pairs, firsts = pair_counts(coded, group, width)
+    model = paired_model(pairs, firsts, group, unigram, states)
     likelihoods = []
-    for _ in range(rounds if texts else 0):
+    for _ in range(rounds if firsts.any() else 0):
         sums = expected_sums(coded, model, width)
         likelihoods.append(sums[3])
         model = model.improved(sums, unigram)

@@ -178,6 +178,30 @@ def test_probabilities_of_one_word_texts_add_up_to_no_more_than_one(spark):
     assert 0 < sum(10 ** s for s in scores) <= 1 + 1e-9
 
 
+def test_long_texts_shape_the_first_model(spark):
+    """Texts of over 2,000 words that go around in a circle of words: the next word is known."""
+    texts = [" ".join(f"w{(i * 7 + k) % 12}" for k in range(2_500)) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = hmm.text_scores(docs.repartition(3), states=6, own=20, lexicon=40, rounds=2).collect()
+    assert all(r.score > 0.9 * r.base_score for r in found)  # logarithms, below 0
+
+
+def test_pairs_of_groups_are_counted_over_all_training_texts(spark):
+    pick = random.Random(5)
+    texts = [[pick.randrange(9) for _ in range(pick.choice((1, 2, 50, 3_000)))] for _ in range(60)]
+    rows = [(bytes(np.array(t, np.uint16)), i % 5 == 1) for i, t in enumerate(texts)]
+    coded = spark.createDataFrame(rows, "symbols binary, held_out boolean").repartition(4)
+    group = np.array([0, 1, 2, 3, 3, 2, 1, 0, 3])
+    pairs, firsts = hmm.pair_counts(coded, group, np.uint16, 4)
+    wanted, begun = np.zeros((4, 4)), np.zeros(4)
+    for i, text in enumerate(texts):
+        if i % 5 != 1:
+            begun[group[text[0]]] += 1
+            for a, b in zip(text, text[1:]):
+                wanted[group[a], group[b]] += 1
+    assert (pairs == wanted).all() and (firsts == begun).all()
+
+
 def test_scores_without_training_texts(spark):
     held = next(x for x in range(100) if zlib.crc32(str(x).encode()) % 5 == 1)
     found = hmm.text_scores(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string")).collect()
