@@ -1,7 +1,7 @@
 """Post vectors: encoding, checks, repair and reduction."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -103,31 +103,38 @@ def encode_posts(posts, make_encoder, text="text", unit_length=True, batch=V.ENC
     schema = StructType([*posts.schema, StructField("embedding", ArrayType(FloatType()))])
 
     key = model_key(make_encoder)
+    held = max(1, V.ARROW_BATCH_ROWS // batch) * batch
 
     def encoded(encode, texts):
         parts = [
             np.asarray(encode(texts[i : i + batch]), dtype=np.float32)
             for i in range(0, len(texts), batch)
         ]
-        return np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
-
-    def encode_task(frames):
-        for frame in frames:
-            encode = loaded(key, make_encoder)
-            texts = frame[text].fillna("").astype(str).tolist()
-            vectors = encoded(encode, texts)
-            bad = np.flatnonzero(~np.isfinite(vectors).all(axis=1)) if repair else []
-            if len(bad):
-                vectors[bad] = encoded(encode, [texts[i] for i in bad])
-                if not np.isfinite(vectors[bad]).all():
-                    raise ValueError("a vector is not finite after repair")
-            if truncate_dim:
-                vectors = vectors[:, :truncate_dim]
-            if unit_length:
-                vectors = unit_rows(vectors)
-            yield frame.assign(embedding=pd.Series(list(vectors), index=frame.index, dtype=object))
-
-    return posts.mapInPandas(encode_task, schema)
+        return np.concatenate(parts)
+
+    def vectors_of(texts):
+        encode = loaded(key, make_encoder)
+        vectors = encoded(encode, texts)
+        bad = np.flatnonzero(~np.isfinite(vectors).all(axis=1)) if repair else []
+        if len(bad):
+            vectors[bad] = encoded(encode, [texts[i] for i in bad])
+            if not np.isfinite(vectors[bad]).all():
+                raise ValueError("a vector is not finite after repair")
+        if truncate_dim:
+            vectors = vectors[:, :truncate_dim]
+        return unit_rows(vectors) if unit_length else vectors
+
+    def encode_task(batches):
+        for whole in batches:
+            # The texts of a whole batch as Python strings would take many times their bytes.
+            for first in range(0, whole.num_rows, held):
+                part = whole.slice(first, held)
+                found = vectors_of(part.column(text).cast(pa.string()).fill_null("").to_pylist())
+                ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
+                lists = pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "embedding"])
+
+    return posts.mapInArrow(encode_task, schema)
 
 
 def bad_vectors(rows, vector="embedding"):

@@ -2,8 +2,10 @@ import math
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from postloom.functions import vectors as V
 from postloom.operators import vectors
@@ -156,3 +158,28 @@ def test_embedding_job_reads_and_writes_once(spark, tmp_path):
     # Batches of 100 rows reach the encoder as 64 and 36 texts.
     assert {r.embedding[0] for r in rows} <= {64.0, 36.0} | {float(n) for n in range(1, 64)}
     assert max(r.embedding[0] for r in rows) <= 64
+
+
+def test_a_worker_holds_the_texts_of_few_posts():
+    """Of a batch of 1,000 posts the first vectors are given away when a hundred have been encoded."""
+    seen = []
+
+    class Posts:
+        schema = StructType([StructField("text", StringType())])
+
+        def mapInArrow(self, task, schema):
+            return lambda batches: task(iter(batches))
+
+        def mapInPandas(self, task, schema):
+            return lambda batches: task(b.to_pandas() for b in batches)
+
+    def encode(texts):
+        seen.append(len(texts))
+        return np.ones((len(texts), 2))
+
+    batch = pa.RecordBatch.from_pydict({"text": [None, *map(str, range(999))]})
+    task = vectors.encode_posts(Posts(), lambda: encode)
+    next(task([batch]))
+    assert 0 < sum(seen) <= 100
+    assert sum(len(part) for part in task([batch])) == 1_000
+    assert set(seen[:-1]) == {32}
