@@ -85,10 +85,9 @@ def drop_repeats(posts, keys=("did", "rkey"), order=("kafka_timestamp", "offset"
     return marked.dropDuplicatesWithinWatermark(keys)
 
 
-def raw_posts(parsed, watermark=V.POSTS_WATERMARK, window=V.POSTS_WINDOW, keep_state=False,
-              thin=False):
-    """Distinct non-empty posts with event time and the tumbling window they fall in."""
-    posts = (
+def post_rows(parsed, *keep):
+    """Non-empty new posts with event time, repeats included."""
+    return (
         new_posts(parsed)
         .select(
             "did",
@@ -100,10 +99,14 @@ def raw_posts(parsed, watermark=V.POSTS_WATERMARK, window=V.POSTS_WINDOW, keep_s
             F.col("commit.record.createdAt").alias("created_at"),
             "kafka_timestamp",
             "offset",
+            *keep,
         )
         .where(F.length("text") > 0)
     )
-    once = drop_repeats(posts, delay=watermark, keep_state=keep_state, thin=thin)
+
+
+def windowed_posts(once, window=V.POSTS_WINDOW):
+    """Rows of ``post_rows`` with the tumbling window they fall in."""
     return (
         once.withColumn("_window", F.window("post_timestamp", window))
         .withColumn("window_start", F.col("_window.start"))
@@ -112,6 +115,13 @@ def raw_posts(parsed, watermark=V.POSTS_WATERMARK, window=V.POSTS_WINDOW, keep_s
     )
 
 
+def raw_posts(parsed, watermark=V.POSTS_WATERMARK, window=V.POSTS_WINDOW, keep_state=False,
+              thin=False):
+    """Distinct non-empty posts with event time and the tumbling window they fall in."""
+    once = drop_repeats(post_rows(parsed), delay=watermark, keep_state=keep_state, thin=thin)
+    return windowed_posts(once, window)
+
+
 def with_post_id(posts, *keep):
     """Posts named ``did/rkey``; rows that lack a part have no identity and are left out."""
     return posts.where("did IS NOT NULL AND rkey IS NOT NULL").select(

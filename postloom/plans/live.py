@@ -7,13 +7,15 @@ from postloom import fixed_values as V
 from postloom.functions.time import event_time
 from postloom.operators import decode, panes
 from postloom.operators.activity import language_activity, platform_health
-from postloom.operators.posts import raw_posts
+from postloom.operators.posts import first_per_key, post_rows, raw_posts, windowed_posts
 from postloom.streaming import fanout
 from postloom.streaming.fanout import Table
 from postloom.streaming.runner import QuerySet
 from postloom.streaming.sinks import gather_windows, to_console, to_memory, to_parquet
 
 HOUR = "yyyy-MM-dd-HH"
+# So many row numbers are sent to every executor at most; more repeats are taken out by a shuffle.
+FEW_REPEATS = 1_000_000
 
 
 def by_hour(rows, time, name):
@@ -38,7 +40,8 @@ class LiveTables:
         self.tables = {
             "dead_letters": Table(lambda held, *_: decode.dead_letters(held)),
             "late_rows": Table(self.late_rows),
-            "posts": Table(self.new_posts, ("post_hour",)),
+            "posts": Table(self.new_posts, ("post_hour",), lambda held: by_hour(
+                raw_posts(decode.good_messages(held)), "post_timestamp", "post_hour")),
             "language_panes": Table(lambda held, *_: by_hour(
                 panes.language_panes(decode.good_messages(held)), "pane_start", "pane_hour"), ("pane_hour",)),
             "health_panes": Table(lambda held, *_: by_hour(
@@ -55,7 +58,8 @@ class LiveTables:
         """A table as it is now; its columns are those of an empty batch, the folders' last."""
         empty = decode.marked_messages(spark.createDataFrame([], V.TOPIC_SCHEMA))
         spec = self.tables[name]
-        rows = spec.rows(empty, 0, self.path(name)).withColumn("batch_id", F.lit(0).cast("bigint"))
+        rows = spec.like(empty) if spec.like else spec.rows(empty, 0, self.path(name))
+        rows = rows.withColumn("batch_id", F.lit(0).cast("bigint"))
         folders = [*spec.by, "batch_id"]
         schema = StructType(rows.drop(*folders).schema.fields + rows.select(*folders).schema.fields)
         return fanout.stored(spark, self.path(name), schema)
@@ -87,11 +91,22 @@ class LiveTables:
         ).coalesce(1)
 
     def new_posts(self, held, number, path):
-        spark = held.sparkSession
-        found = by_hour(raw_posts(decode.good_messages(held)), "post_timestamp", "post_hour")
-        if number < 1:
-            return found
-        delay = F.expr(f"interval {self.delay}")
+        # Repeats are found by their keys alone; texts stay where they are while repeats are few.
+        numbered = held.withColumn("_row", F.monotonically_increasing_id())
+        rows = post_rows(decode.good_messages(numbered), "_row")
+        short = rows.select("_row", "did", "rkey", "post_timestamp", "kafka_timestamp", "offset")
+        kept = first_per_key(short, ["did", "rkey"], ["kafka_timestamp", "offset", "_row"])
+        if number > 0:
+            kept = self.not_landed(kept, held, number)
+        repeats = short.select("_row").join(kept.select("_row"), "_row", "left_anti")
+        if repeats.limit(FEW_REPEATS + 1).count() <= FEW_REPEATS:
+            repeats = F.broadcast(repeats)
+        once = rows.join(repeats, "_row", "left_anti").drop("_row")
+        return by_hour(windowed_posts(once), "post_timestamp", "post_hour")
+
+    def not_landed(self, found, held, number):
+        """Without the posts that an earlier batch has landed."""
+        spark, delay = held.sparkSession, F.expr(f"interval {self.delay}")
         first, last = held.where("fault is null").agg(
             F.date_format(F.min(event_time()) - delay, HOUR),
             F.date_format(F.max(event_time()) + delay, HOUR)).first()

@@ -14,11 +14,13 @@ from pyspark.storagelevel import StorageLevel
 
 @dataclass(frozen=True)
 class Table:
-    """What a batch adds to a table: ``rows(batch, number, path)``, and the columns its folders are
-    named by, before the batch number."""
+    """What a batch adds to a table: ``rows(batch, number, path)``, the columns its folders are
+    named by, before the batch number, and a plain ``like(batch)`` of the same columns where
+    ``rows`` runs jobs of its own."""
 
     rows: Callable
     by: tuple = ()
+    like: Callable | None = None
 
 
 def put(rows, path, number, by=()):

@@ -200,3 +200,18 @@ def test_topic_reads_are_limited_by_default():
     options = kafka.read_options("s", "t", max_offsets=5, min_offsets=2, max_delay="1 minute")
     assert options["maxOffsetsPerTrigger"] == "5" and options["minOffsetsPerTrigger"] == "2"
     assert options["maxTriggerDelay"] == "1 minute"
+
+
+@pytest.mark.parametrize("few", [live.FEW_REPEATS, 0])
+def test_posts_are_not_shuffled_with_their_texts(spark, folders, monkeypatch, few):
+    monkeypatch.setattr(live, "FEW_REPEATS", few)
+    deliver(spark, folders[0], *[message(i % 7, f"p{i % 7}") for i in range(20)], message(1, "p1", None))
+    tables, _ = run(spark, *folders)
+    posts = tables.read(spark, "posts")
+    assert sorted(r.rkey for r in posts.collect()) == sorted([*(f"p{i}" for i in range(7)), "p1"])
+    held = decode.marked_messages(spark.read.schema(V.TOPIC_SCHEMA).parquet(folders[0]))
+    frame = tables.new_posts(held, 0, None)
+    assert frame.columns == posts.drop("batch_id").columns
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti, (_row" in plan
+    assert ("rightHint=(strategy=broadcast)" in plan) == bool(few)
