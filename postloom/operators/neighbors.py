@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ BUCKET = 64
 TABLES = 12
 NEIGHBORS = 16
 DEAL_ROWS = 1024
+BLOCK_BITS = 4
 
 
 def comparable(rows, dims, id="post_id", vector="embedding"):
@@ -56,6 +58,45 @@ def with_buckets(rows, dims, bits, tables=TABLES, id="post_id", vector="embeddin
     return points.mapInArrow(task, kinds + ", buckets array<bigint>")
 
 
+def near_rows(posts, others, dims, least, k):
+    """``post, near, cosine`` of the ``k`` nearest ``others`` in each post's bucket, and of those as near as
+    the last of them.
+
+    Both are Arrow tables of ``bucket, post, vector``, of many buckets: a call costs more than a bucket.
+    Ids stay in Arrow, as a Python object for each pair costs more than its cosine.
+    """
+    sides = []
+    for side in (posts, others):
+        buckets = side.column("bucket").to_numpy()
+        order = np.argsort(buckets, kind="stable")
+        flat = side.column("vector").combine_chunks().flatten()
+        matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(side.num_rows, dims)[order]
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        sides.append((buckets[order], side.column("post").combine_chunks().take(pa.array(order)), matrix))
+    (mine, ids, left), (theirs, names, right) = sides
+    distinct = names.unique()
+    own, known = (pc.fill_null(pc.index_in(x, value_set=distinct), -1).to_numpy() for x in (ids, names))
+    rows, columns, found = [], [], []
+    for bucket in np.unique(mine):
+        a, b = (slice(*np.searchsorted(x, [bucket, bucket + 1])) for x in (mine, theirs))
+        if b.start == b.stop:
+            continue
+        # Rounded, so that equal cosines are equal in whatever order they were added up.
+        cosines = np.round(left[a] @ right[b].T, 9)
+        cosines[own[a][:, None] == known[b][None, :]] = -2
+        keep = min(k, cosines.shape[1])
+        if keep < cosines.shape[1]:
+            bound = -np.partition(-cosines, keep - 1, axis=1)[:, keep - 1:keep]
+            cosines = np.where(cosines >= bound, cosines, -2)
+        row, column = np.nonzero(cosines >= least)
+        rows.append(row + a.start)
+        columns.append(column + b.start)
+        found.append(cosines[row, column])
+    row, column = (np.concatenate([np.array([], np.int64), *x]) for x in (rows, columns))
+    return pa.table({"post": ids.take(pa.array(row)), "near": names.take(pa.array(column)),
+                     "cosine": np.concatenate([np.array([], np.float64), *found])})
+
+
 def nearest(rows, dims, id="post_id", vector="embedding", least=0.5, k=NEIGHBORS, tables=TABLES,
             bucket=BUCKET, seed=V.REDUCE_SEED):
     """``post, near, cosine``: up to ``k`` near posts of each post, nearest first, ties by id.
@@ -77,33 +118,13 @@ def nearest(rows, dims, id="post_id", vector="embedding", least=0.5, k=NEIGHBORS
         "deal", F.pmod(F.xxhash64("post"), F.coalesce("deals", F.lit(1)))).drop("deals")
     asked = first.drop("_rank").join(many, ["table", "bucket"], "left").withColumn(
         "deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("deals", F.lit(1)) - 1)))
-    key = ["table", "bucket", "deal"]
+    # A group of the search is many buckets; of a full one it has one deal.
+    dealt, asked = (x.withColumn("block", F.shiftright("bucket", BLOCK_BITS)) for x in (dealt, asked))
+    key = ["table", "block", "deal"]
     kind = sound.schema[id].dataType.simpleString()
 
     def compare(posts, others):
-        if not posts.num_rows or not others.num_rows:
-            return found_rows([], [], [], posts)
-        matrices = []
-        for side in (posts, others):
-            flat = side.column("vector").combine_chunks().flatten()
-            matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(side.num_rows, dims)
-            matrices.append(matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
-        # Rounded, so that equal cosines are equal in whatever order they were added up.
-        cosines = np.round(matrices[0] @ matrices[1].T, 9)
-        ids = [np.array(side.column("post").to_pylist(), dtype=object) for side in (posts, others)]
-        cosines[ids[0][:, None] == ids[1][None, :]] = -2
-        keep = min(k, cosines.shape[1])
-        if keep < cosines.shape[1]:
-            bound = -np.partition(-cosines, keep - 1, axis=1)[:, keep - 1:keep]
-            cosines = np.where(cosines >= bound, cosines, -2)
-        row, column = np.nonzero(cosines >= least)
-        return found_rows(ids[0][row], ids[1][column], cosines[row, column], posts)
-
-    def found_rows(posts, near, cosines, like):
-        kind = like.schema.field("post").type
-        return pa.table({
-            "post": pa.array(list(posts), kind), "near": pa.array(list(near), kind),
-            "cosine": pa.array(np.asarray(cosines, np.float64))})
+        return near_rows(posts, others, dims, least, k)
 
     # New names for the same columns, or the two sides would be ambiguous.
     asked = asked.select(*(F.col(c).alias(c) for c in dealt.columns))

@@ -48,7 +48,7 @@ def hashed_embedding(text, dims=HASHED_DIMS):
     codes = F.transform(F.transform(tokens, lambda word: md5_uint(word, 1, 9)), code)
     buckets = F.sequence(F.lit(0), F.lit(dims - 1))
     sums = let(
-        F.array_sort(codes),
+        F.sort_array(codes),
         lambda ordered: let(
             runs(ordered),
             lambda found: F.transform(

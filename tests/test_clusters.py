@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,29 @@ def test_neighbours_have_exact_cosines_and_recall(spark, monkeypatch, posts, buc
     assert {(r.left, r.right) for r in edges} == {(min(p), max(p)) for p in met}
 
 
+@pytest.mark.parametrize("kind", [pa.int64(), pa.string()])
+def test_one_group_of_the_search_holds_many_buckets(kind):
+    def side(*rows):
+        buckets, ids, vectors = zip(*rows) if rows else ((), (), ())
+        return pa.table({"bucket": pa.array(buckets, pa.int64()), "post": pa.array(ids, pa.int64()).cast(kind),
+                         "vector": pa.array(vectors, pa.list_(pa.float32()))})
+
+    posts = side((5, 1, [1, 0]), (2, 2, [1, 0]), (5, 3, [3, 4]), (7, 4, [0, 1]))
+    others = side((2, 2, [1, 0]), (2, 9, [2, 0]), (5, 1, [1, 0]), (5, 3, [3, 4]), (6, 4, [0, 1]))
+    found = neighbors.near_rows(posts, others, 2, 0.5, 1)
+    assert sorted((str(r["post"]), str(r["near"]), r["cosine"]) for r in found.to_pylist()) == [
+        ("1", "3", 0.6), ("2", "9", 1.0), ("3", "1", 0.6)]
+    for none in (neighbors.near_rows(posts, side(), 2, 0.5, 1), neighbors.near_rows(side(), others, 2, 0.5, 1)):
+        assert none.num_rows == 0 and none.schema == found.schema
+
+
+def test_the_search_has_a_group_per_block_of_buckets(spark):
+    rows = post_frame(spark, np.eye(8, dtype=np.float32))
+    plan = neighbors.nearest(rows, 8, bucket=1)._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line for line in plan.splitlines() if "FlatMapCoGroupsInArrow" in line]
+    assert keys and "block" in keys[0] and "bucket" not in keys[0].split("compare(")[0]
+
+
 def test_copies_become_one_signature(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(400)], "post_id int, v array<float>")
     located = density.with_cells(rows, 2, vector="v")

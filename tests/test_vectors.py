@@ -84,6 +84,12 @@ def test_both_hashed_encoders_agree(spark):
     assert sum(map(abs, left[3])) in (2.0, 4.0)
 
 
+def test_word_codes_are_sorted_without_a_comparing_lambda(spark):
+    frame = spark.createDataFrame([("b a a",)], "text string").select(vectors.hashed_embedding(F.col("text")))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
+
+
 def test_reduction(spark):
     random = np.random.default_rng(1)
     data = random.normal(size=(200, 6)) * [5, 3, 1, 0.5, 0.2, 0.1]
