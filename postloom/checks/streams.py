@@ -28,12 +28,15 @@ from postloom.streaming.sinks import gather_windows, to_parquet, write_table
 
 SLICES = 3
 ROWS_PER_FILE = 1000
+# Of a large recording; no file, and no task that writes or replays one, grows with the feed.
+FULL_FILE = 100_000
 
 
 def file_number(spark, folder, slices=1, rows_per_file=ROWS_PER_FILE):
-    """Files per slice: as many as the cluster shuffles into, none of them short of rows."""
+    """Files per slice: as many as the cluster shuffles into, more where they would be too full, none
+    of them short of rows."""
     rows = table(spark, folder, "events").count()
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // slices // FULL_FILE)
     return max(1, min(most, rows // slices // rows_per_file))
 
 

@@ -231,6 +231,15 @@ def test_a_slice_of_few_rows_is_a_batch_of_its_own(spark):
     assert [p.numInputRows for p in query.recentProgress if p.numInputRows] == [1, 1, 1]
 
 
+def test_files_of_a_recording_outgrow_the_shuffle(spark, monkeypatch):
+    folder = work_dir(spark, "many-events")
+    spark.range(6000).selectExpr("id AS event_id").write.parquet(f"{folder}/events.parquet")
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert streams.file_number(spark, folder, 2, 100) == min(most, 30)
+    monkeypatch.setattr(streams, "FULL_FILE", 200)
+    assert streams.file_number(spark, folder, 2, 100) == max(min(most, 30), 15)
+
+
 def test_recordings_grow_in_files_not_in_file_size(spark):
     folder = work_dir(spark, "larger")
     spark.range(16_000).selectExpr(
