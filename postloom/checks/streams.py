@@ -28,7 +28,7 @@ from postloom.streaming.sinks import gather_windows, to_parquet, write_table
 
 SLICES = 3
 ROWS_PER_FILE = 1000
-# Of a large recording; no file, and no task that writes or replays one, grows with the feed.
+# Messages per file of a large recording, on average, so that files do not grow with the feed.
 FULL_FILE = 100_000
 
 
