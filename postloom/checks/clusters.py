@@ -310,8 +310,12 @@ def cell_links(spark, folder):
 # ---------------------------------------------------------------- near posts
 
 
-def near_sql(vectors_, id, least, k=16, tables=12, bucket=64):
-    """The definition of `postloom.operators.neighbors`, as CTEs over ``vectors_ (id, v)``."""
+def near_sql(vectors_, id, least, k=16, tables=12, bucket=64, whole=False):
+    """The definition of `postloom.operators.neighbors`, as CTEs over ``vectors_ (id, v)``; ``whole``
+    without representatives."""
+    first_ones = "SELECT * FROM buckets" if whole else f"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, bucket ORDER BY md5(point::VARCHAR), point) AS n
+                   FROM buckets) WHERE n <= {bucket}"""
     return f""", named AS (
     SELECT min({id}) AS point, count(*) AS weight, v FROM {vectors_}
     WHERE len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY v
@@ -325,9 +329,7 @@ def near_sql(vectors_, id, least, k=16, tables=12, bucket=64):
 ), buckets AS (
     SELECT point, t, sum(CASE WHEN side AND p < bits THEN 1 << p ELSE 0 END) AS bucket
     FROM sides, plane_count GROUP BY ALL
-), first_ones AS (
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, bucket ORDER BY md5(point::VARCHAR), point) AS n
-                   FROM buckets) WHERE n <= {bucket}
+), first_ones AS ({first_ones}
 ), met AS (
     SELECT DISTINCT a.point AS post, b.point AS near
     FROM buckets a JOIN first_ones b USING (t, bucket) WHERE a.point <> b.point
@@ -369,7 +371,8 @@ FROM near GROUP BY ALL""")
 def neighbor_edges(spark, folder):
     """Near vectors with their cosine."""
     rows = write_and_read(drawn(spark, folder), "drawn")
-    return neighbors.neighbor_edges(neighbors.nearest(rows, 64, "vec_id", least=0.5))
+    return neighbors.neighbor_edges(neighbors.nearest(
+        rows, 64, "vec_id", least=0.5, representatives=neighbors.BUCKET))
 
 
 def hierarchy_sql(id, vectors_, min_pts, min_size, levels=hierarchy.LEVELS):
@@ -439,13 +442,14 @@ def hierarchy_sql(id, vectors_, min_pts, min_size, levels=hierarchy.LEVELS):
        + hierarchy_sql("vec_id", "drawn", 8, 8) + """
 SELECT vec_id, coalesce(cluster, -1) AS cluster FROM embeddings LEFT JOIN found USING (vec_id)""")
 def density_clusters(spark, folder):
-    found = hierarchy.density_clusters(drawn(spark, folder), 64, "vec_id", min_pts=8, min_cluster_size=8)
+    found = hierarchy.density_clusters(drawn(spark, folder), 64, "vec_id", min_pts=8, min_cluster_size=8,
+                                       representatives=neighbors.BUCKET)
     return as_bigint(found, "cluster")
 
 
 DOCUMENT_POINTS_SQL = HASHED_SQL.replace("WITH words", "WITH RECURSIVE words") + """, lists AS (
     SELECT doc_id, list(value ORDER BY pos) AS v FROM hashed GROUP BY doc_id)
-""" + near_sql("lists", "doc_id", 0.5) + hierarchy_sql("doc_id", "lists", 10, 10)
+""" + near_sql("lists", "doc_id", 0.5, whole=True) + hierarchy_sql("doc_id", "lists", 10, 10)
 
 
 @query("document_clusters", DOCUMENT_POINTS_SQL + """

@@ -1,11 +1,13 @@
 """Near posts: pairs with their cosine, a bounded number for each post.
 
 Random sign planes part the posts into buckets, several tables of them with other planes.  The number
-of planes grows with the logarithm of the posts, so that an even bucket holds ``bucket`` of them.  A
-bucket's representatives are its first ``bucket`` posts by a hash of their id, all of them in a bucket
-that is not fuller.  Every post is compared with the representatives of its buckets by exact cosine
-and keeps its ``k`` nearest of at least ``least``.  So work and edges grow with the number of posts,
-however many share a bucket, and a full bucket is dealt to as many tasks as it needs.
+of planes grows with the logarithm of the posts, so that an even bucket holds ``bucket`` of them.
+Every post is compared with all others of its buckets by exact cosine and keeps its ``k`` nearest of
+at least ``least``.  So edges grow with the number of posts; work grows with the square of a bucket, and
+a full bucket is dealt to as many tasks as it needs, each of which holds two deals of its posts.
+
+With ``representatives`` every post is compared with so many posts of a bucket only, the first by a hash
+of their id, all of them in a bucket that is not fuller.
 """
 
 import math
@@ -24,8 +26,9 @@ from postloom.session import write_and_read
 BUCKET = 64
 TABLES = 12
 NEIGHBORS = 16
-DEAL_ROWS = 1024
+DEAL_ROWS = 4096
 BLOCK_BITS = 4
+COSINES_AT_ONCE = 1 << 20
 
 
 def comparable(rows, dims, id="post_id", vector="embedding"):
@@ -81,27 +84,39 @@ def near_rows(posts, others, dims, least, k):
         a, b = (slice(*np.searchsorted(x, [bucket, bucket + 1])) for x in (mine, theirs))
         if b.start == b.stop:
             continue
-        # Rounded, so that equal cosines are equal in whatever order they were added up.
-        cosines = np.round(left[a] @ right[b].T, 9)
-        cosines[own[a][:, None] == known[b][None, :]] = -2
-        keep = min(k, cosines.shape[1])
-        if keep < cosines.shape[1]:
-            bound = -np.partition(-cosines, keep - 1, axis=1)[:, keep - 1:keep]
-            cosines = np.where(cosines >= bound, cosines, -2)
-        row, column = np.nonzero(cosines >= least)
-        rows.append(row + a.start)
-        columns.append(column + b.start)
-        found.append(cosines[row, column])
+        step = max(1, COSINES_AT_ONCE // (b.stop - b.start))
+        for at in range(a.start, a.stop, step):
+            some = slice(at, min(at + step, a.stop))
+            # Rounded, so that equal cosines are equal in whatever order they were added up.
+            cosines = np.round(left[some] @ right[b].T, 9)
+            cosines[own[some][:, None] == known[b][None, :]] = -2
+            keep = min(k, cosines.shape[1])
+            if keep < cosines.shape[1]:
+                bound = -np.partition(-cosines, keep - 1, axis=1)[:, keep - 1:keep]
+                cosines = np.where(cosines >= bound, cosines, -2)
+            row, column = np.nonzero(cosines >= least)
+            rows.append(row + at)
+            columns.append(column + b.start)
+            found.append(cosines[row, column])
     row, column = (np.concatenate([np.array([], np.int64), *x]) for x in (rows, columns))
     return pa.table({"post": ids.take(pa.array(row)), "near": names.take(pa.array(column)),
                      "cosine": np.concatenate([np.array([], np.float64), *found])})
 
 
+def dealt(rows, many, own, other):
+    """``rows`` with their deal as ``own``, once for each deal of the other side as ``other``."""
+    deals = F.coalesce("deals", F.lit(1).cast("bigint"))
+    return rows.join(many, ["table", "bucket"], "left").withColumns({
+        own: F.pmod(F.xxhash64("post"), deals),
+        other: F.explode(F.sequence(F.lit(0).cast("bigint"), deals - 1))}).drop("deals")
+
+
 def nearest(rows, dims, id="post_id", vector="embedding", least=0.5, k=NEIGHBORS, tables=TABLES,
-            bucket=BUCKET, seed=V.REDUCE_SEED):
+            bucket=BUCKET, seed=V.REDUCE_SEED, representatives=None):
     """``post, near, cosine``: up to ``k`` near posts of each post, nearest first, ties by id.
 
-    Ids are unique; posts that are not ``comparable`` have none.
+    Ids are unique; posts that are not ``comparable`` have none.  Without ``representatives`` a post
+    is compared with all posts of its buckets.
     """
     sound = write_and_read(comparable(rows, dims, id, vector).select(id, vector), "comparable")
     bits = planes(sound.count(), bucket)
@@ -109,26 +124,26 @@ def nearest(rows, dims, id="post_id", vector="embedding", least=0.5, k=NEIGHBORS
     spread = write_and_read(
         placed.select(F.posexplode("buckets").alias("table", "bucket"), F.col(id).alias("post"),
                       F.col(vector).alias("vector")), "buckets")
-    order = Window.partitionBy("table", "bucket").orderBy(F.md5(F.col("post").cast("string")), "post")
-    first = spread.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= bucket)
+    first = spread
+    if representatives:
+        order = Window.partitionBy("table", "bucket").orderBy(F.md5(F.col("post").cast("string")), "post")
+        first = spread.withColumn("_rank", F.row_number().over(order)).where(
+            F.col("_rank") <= representatives).drop("_rank")
     sizes = spread.groupBy("table", "bucket").agg(F.ceil(F.count("*") / DEAL_ROWS).alias("deals"))
     # One deal for all but the full buckets, whose rows are dealt by a hash of the post.
     many = sizes.where("deals > 1")
-    dealt = spread.join(many, ["table", "bucket"], "left").withColumn(
-        "deal", F.pmod(F.xxhash64("post"), F.coalesce("deals", F.lit(1)))).drop("deals")
-    asked = first.drop("_rank").join(many, ["table", "bucket"], "left").withColumn(
-        "deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("deals", F.lit(1)) - 1)))
-    # A group of the search is many buckets; of a full one it has one deal.
-    dealt, asked = (x.withColumn("block", F.shiftright("bucket", BLOCK_BITS)) for x in (dealt, asked))
-    key = ["table", "block", "deal"]
+    mine, asked = dealt(spread, many, "deal", "other"), dealt(first, many, "other", "deal")
+    # A group of the search is many buckets; of a full one it has one deal of each side.
+    mine, asked = (x.withColumn("block", F.shiftright("bucket", BLOCK_BITS)) for x in (mine, asked))
+    key = ["table", "block", "deal", "other"]
     kind = sound.schema[id].dataType.simpleString()
 
     def compare(posts, others):
         return near_rows(posts, others, dims, least, k)
 
     # New names for the same columns, or the two sides would be ambiguous.
-    asked = asked.select(*(F.col(c).alias(c) for c in dealt.columns))
-    met = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(
+    asked = asked.select(*(F.col(c).alias(c) for c in mine.columns))
+    met = mine.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(
         compare, f"post {kind}, near {kind}, cosine double")
     once = met.groupBy("post", "near").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("post").orderBy(F.desc("cosine"), "near")

@@ -150,6 +150,25 @@ def test_neighbours_have_exact_cosines_and_recall(spark, monkeypatch, posts, buc
     assert {(r.left, r.right) for r in edges} == {(min(p), max(p)) for p in met}
 
 
+@pytest.mark.parametrize("deal", [4096, 60])
+def test_a_full_bucket_is_searched_whole(spark, monkeypatch, deal):
+    monkeypatch.setattr(neighbors, "DEAL_ROWS", deal)
+    random = np.random.default_rng(3)
+    data = np.ones(24) + random.normal(size=(500, 24)) * 0.05
+    rows = post_frame(spark, data.astype(np.float32))
+    # One bucket holds them all: the nearest are the nearest of all.
+    got = {}
+    for r in neighbors.nearest(rows, 24, least=0.5, k=5, bucket=500).collect():
+        got.setdefault(r.post, set()).add(r.near)
+    unit = data.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosines = unit @ unit.T
+    np.fill_diagonal(cosines, -2)
+    assert got == {i: set(np.argsort(-row)[:5].tolist()) for i, row in enumerate(cosines)}
+    capped = neighbors.nearest(rows, 24, least=0.5, k=5, bucket=500, representatives=64)
+    assert capped.select("near").distinct().count() <= 64
+
+
 @pytest.mark.parametrize("kind", [pa.int64(), pa.string()])
 def test_one_group_of_the_search_holds_many_buckets(kind):
     def side(*rows):
