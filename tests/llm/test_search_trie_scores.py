@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.llm import hmm, strata, ztrie
+from postloom.llm.scratch import arrow_rows
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, low int, depth string"
 
@@ -257,3 +258,11 @@ def test_search_of_empty_tables(spark):
     assert strata.ranked(docs, items.limit(0)).count() == 0
     # The one document's term has the weight of a term that all documents have.
     assert strata.ranked(docs, items).count() == 1
+
+
+def test_large_rows_are_read_a_few_at_a_time(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    with arrow_rows(spark, 7):
+        assert [spark.conf.get(name) for name in names] == ["7", "7"]
+    assert [spark.conf.get(name) for name in names] == before
