@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from postloom import fixed_values as V
+from postloom.session import write_table
 from postloom.streaming.fanout import folder_names
 
 
@@ -34,8 +35,7 @@ def record_topic(topic, path, slices=1, files_per_slice=8, time="timestamp", new
 
 
 def write_files(rows, path, rows_per_file=None):
-    writer = rows.write.mode("append").option("compression", "zstd")
-    writer.option("maxRecordsPerFile", rows_per_file or 0).parquet(path)
+    write_table(rows, path, "append", compression="zstd", maxRecordsPerFile=rows_per_file or 0)
 
 
 def file_count(spark, path):

@@ -1,7 +1,8 @@
 """One read of a stream into several tables, written again without harm when a batch is repeated.
 
-A batch is read and decoded once and held while its tables are written.  Each table's rows of a batch
-go to folders named by the batch number, which a repeated batch replaces.
+A batch is read and decoded once and held, as files, while its tables are written: a table reads the
+columns it needs, and no executor holds more of a batch than its tasks work on.  Each table's rows of a
+batch go to folders named by the batch number, which a repeated batch replaces.
 """
 
 from collections.abc import Callable
@@ -9,7 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from postloom.session import lean_reads, write_table
+
+# Below the output, and not read as a table: names with an underscore are left out.
+HELD = "_held"
 
 
 @dataclass(frozen=True)
@@ -67,21 +72,25 @@ def stored(spark: SparkSession, path, schema) -> DataFrame:
 def fan_out(stream, prepare, tables, output, checkpoint, name, every=None, after=None):
     """Write every batch of ``stream`` to all ``tables`` and return the running query.
 
-    ``prepare(batch)`` gives the frame that is held while ``tables``, a dict of ``Table`` by name, are
-    written in order; ``after(spark, number)`` runs when they are.  A batch that failed halfway
-    is read again from the source and replaces what it had written.
+    ``prepare(batch)`` gives the frame that is held, as files below ``output``, while ``tables``, a dict
+    of ``Table`` by name, are written in order; ``after(spark, number)`` runs when they are.  A batch that
+    failed halfway is read again from the source and replaces what it had written.
     """
+    lean_reads(stream.sparkSession)
 
     def process(batch, number):
-        held = prepare(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        spark, folder = batch.sparkSession, f"{output}/{HELD}/batch_id={number}"
+        prepared = prepare(batch)
         try:
+            write_table(prepared, folder, compression="zstd")
+            held = spark.read.schema(prepared.schema).parquet(folder)
             for table, spec in tables.items():
                 path = f"{output}/{table}"
                 put(spec.rows(held, number, path), path, number, spec.by)
             if after is not None:
-                after(batch.sparkSession, number)
+                after(spark, number)
         finally:
-            held.unpersist()
+            remove(spark, folder)
 
     writer = stream.writeStream.queryName(name).foreachBatch(process)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)

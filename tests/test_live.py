@@ -10,7 +10,7 @@ from postloom import fixed_values as V
 from postloom.operators import activity, decode, panes
 from postloom.plans import live, reports
 from postloom.plans.collection import start_checked_collection
-from postloom.session import work_dir
+from postloom.session import VECTORED_READS, work_dir
 from postloom.sources import kafka
 from postloom.sources.replay import replay_topic
 from postloom.sources.tables import firehose
@@ -47,6 +47,25 @@ def test_a_batch_is_read_once_and_repeats_across_batches_are_dropped(spark, fold
     assert [(b.messages, b.dead, b.late) for b in batches] == [(4, 2, 0), (3, 0, 0), (1, 0, 0)]
 
 
+def test_a_batch_is_held_as_files_in_no_executors_memory(spark, folders):
+    path, output, checkpoint = folders
+    spark.conf.set(VECTORED_READS, "true")
+    deliver(spark, path, message(0, "a"), "{broken")
+    seen = []
+
+    def rows(held, number, _):
+        seen.append((held.is_cached, len(held.inputFiles()) > 0, held.sparkSession.conf.get(VECTORED_READS)))
+        return held.select("offset", "fault")
+
+    query = fanout.fan_out(replay_topic(spark, path, 1), decode.marked_messages,
+                           {"one": fanout.Table(rows), "two": fanout.Table(rows)}, output, checkpoint, "held")
+    with QuerySet(query) as running:
+        running.finish()
+    assert seen == [(False, True, "false")] * 2
+    assert fanout.folder_names(spark, f"{output}/{fanout.HELD}") == []
+    assert spark.read.parquet(f"{output}/two").count() == 2
+
+
 def test_a_repeated_batch_replaces_itself(spark, folders):
     path, output, checkpoint = folders
     deliver(spark, path, message(0, "a"))
