@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from postloom.llm import (
     bpe, chat, dedup, forest, jaccard, language, licenses, mixing, toxicity, warc)
 from postloom.llm.queries import tokenizer
+from postloom.llm.scratch import Scratch
+from postloom.session import CLEAN_SHUFFLES
+from postloom.streaming.fanout import folder_names
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, digest int"
 ODD = [
@@ -124,6 +127,48 @@ def test_near_duplicates_of_odd_rows(odd):
     assert jaccard.drop_near_duplicates(odd).columns == odd.columns
 
 
+def near_copies(spark, groups=40, each=4):
+    words = [[f"w{g}x{i}" for i in range(60)] for g in range(groups)]
+    rows = [(g * each + k, " ".join(words[g][:59 - k])) for g in range(groups) for k in range(each)]
+    rows += [(1000 + i, text) for i, text in rows]
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_blocks_are_searched_in_rounds_of_bounded_bytes(spark, monkeypatch):
+    docs = near_copies(spark)
+    whole = sorted(map(tuple, jaccard.near_duplicates(docs).collect()))
+    assert len({row[2] for row in whole}) == 40
+    monkeypatch.setattr(jaccard, "ROUND_BYTES", 1)
+    members = spark.createDataFrame([(b, b + 1, 60) for b in range(30)], "block bigint, doc_id bigint, n bigint")
+    queries = members.select("block", F.col("block").alias("query"))
+    sets = jaccard.sets(docs.where("doc_id < 5"))
+    scratch = Scratch(spark, "rounds")
+    found = jaccard.searched_blocks(members, queries, sets, True, scratch, "near")
+    assert sum(name.startswith("near-of-") for name in folder_names(spark, scratch.base)) > 1
+    assert sorted((r.query, r.doc_id) for r in found.collect()) == [(0, 1), (1, 2), (2, 3)]
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == whole
+
+
+def test_near_duplicates_go_without_a_shuffle_of_texts(spark):
+    docs = near_copies(spark).unionByName(spark.createDataFrame([(None, "w0x0 w0x1")], "doc_id bigint, text string"))
+    kept = jaccard.drop_near_duplicates(docs)
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [
+        *((False, g * 4) for g in range(40)), (True, None)]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in folders.apply(i).getName() for i in range(folders.size()))
+
+    before = shuffles()
+    table = Scratch(spark, "shuffled").save(spark.range(1000).repartition(4, "id"), "table")
+    assert shuffles() <= before
+    assert table.count() == 1000 and spark.conf.get(CLEAN_SHUFFLES) == "false"
+    assert spark.conf.get("parquet.hadoop.vectored.io.enabled") == "false"
+
+
 def test_heap_merge_counts():
     pick = random.Random(1)
     for _ in range(200):
